@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import fingerprints, licenses, mixing, sharding, urls
 
 
 def queries() -> dict:
-    return {"op2_mixing": mixing.op2_mixing, "op10_sharding": sharding.op10_sharding}
+    return {"op2_mixing": mixing.op2_mixing, "op5_fingerprints": fingerprints.op5_fingerprints, "op6_url_filter": urls.op6_url_filter, "op7_license_scan": licenses.op7_license_scan, "op10_sharding": sharding.op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op6_url_filter": urls.OP6_SQL, "op7_license_scan": licenses.OP7_SQL}
