@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, sharding, simhash, urls
+from . import fingerprints, licenses, mixing, sharding, simhash, toxicity, urls
 
 
 def queries() -> dict:
-    return {"op2_mixing": mixing.op2_mixing, "op5_fingerprints": fingerprints.op5_fingerprints, "op6_url_filter": urls.op6_url_filter, "op7_license_scan": licenses.op7_license_scan, "op8_simhash": simhash.op8_simhash, "op10_sharding": sharding.op10_sharding}
+    return {"op2_mixing": mixing.op2_mixing, "op5_fingerprints": fingerprints.op5_fingerprints, "op6_url_filter": urls.op6_url_filter, "op7_license_scan": licenses.op7_license_scan, "op8_simhash": simhash.op8_simhash, "op9_toxicity": toxicity.op9_toxicity, "op10_sharding": sharding.op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
