@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, sharding, simhash, tokens, toxicity, urls
+from . import fingerprints, licenses, mixing, pieces, sharding, simhash, tokens, toxicity, urls
 
 
 def queries() -> dict:
-    return {"op2_mixing": mixing.op2_mixing, "op4_token_ids": tokens.op4_token_ids, "op5_fingerprints": fingerprints.op5_fingerprints, "op6_url_filter": urls.op6_url_filter, "op7_license_scan": licenses.op7_license_scan, "op8_simhash": simhash.op8_simhash, "op9_toxicity": toxicity.op9_toxicity, "op10_sharding": sharding.op10_sharding}
+    return {"op1_sentencepiece": pieces.op1_sentencepiece, "op2_mixing": mixing.op2_mixing, "op4_token_ids": tokens.op4_token_ids, "op5_fingerprints": fingerprints.op5_fingerprints, "op6_url_filter": urls.op6_url_filter, "op7_license_scan": licenses.op7_license_scan, "op8_simhash": simhash.op8_simhash, "op9_toxicity": toxicity.op9_toxicity, "op10_sharding": sharding.op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
