@@ -129,9 +129,11 @@ def with_next(docs: DataFrame, groups: int | None = None) -> DataFrame:
     own = F.struct(F.col("range_").alias("r"), F.lit(False).alias("guest"))
     guest = F.struct(F.element_at(hosts, F.col("range_")).alias("r"), F.lit(True).alias("guest"))
     rows = rows.withColumn("to_", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
-    line = Window.partitionBy("to_.r").orderBy(F.col("to_.guest"), F.desc_nulls_last("doc_id"), "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(line)).withColumn("next_sketch", F.lead("sketch").over(line))
-    return rows.where(~F.col("to_.guest")).drop("to_", "range_")
+    rows = rows.select("*", F.col("to_.r").alias("line_"), F.col("to_.guest").alias("guest_")).drop("to_", "range_")
+    # one window over plain columns: expressions here would make Spark deal the texts out once for each lead
+    line = Window.partitionBy("line_").orderBy("guest_", F.desc_nulls_last("doc_id"), "text")
+    rows = rows.select("*", F.lead(F.struct("text", "sketch")).over(line).alias("next_"))
+    return rows.where(~F.col("guest_")).select(*docs.columns, F.col("next_.text").alias("next_text"), F.col("next_.sketch").alias("next_sketch"))
 
 
 def edited_text() -> Column:
