@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged, table, text_or_empty
+from .common import drop_staged, small, staged, table, text_or_empty
 from .components import connected_components
 
 WORDS, SEED, BITS = 4, 42, 4
@@ -246,3 +246,165 @@ def hex_fingerprint(fp: Column) -> Column:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# near copies by similarity: wider fingerprints, found by bands and verified on the shingles
+
+COPY_WORDS, SIMILARITY = 5, 0.8
+#: Four 64-bit fingerprints make a wide one; at similarity 0.8 two texts differ in about 37 of its 256 bits, and rarely in more than this.
+WIDE, WIDE_BITS = 4, 54
+#: Part of differing bits for which the number of bands is chosen, and the part of such pairs that may stay unfound.
+BIT_RATE, MISSED = 0.155, 0.002
+#: Rows to go up to which they (24 bytes each) are broadcast.
+GONE_ROWS = 1_000_000
+#: Odd multipliers that make four hashes of one.
+_MIX = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) | 1 for i in range(WIDE)], dtype=np.uint64)
+
+
+def shingles(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
+    """The text's distinct shingle hashes, in order."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    found = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))}
+    return np.sort(np.array(list(found), dtype=np.uint64))
+
+
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(WIDE, np.uint64)
+    for i, m in enumerate(_MIX if len(hashes) else ()):
+        h = hashes * m
+        h ^= h >> np.uint64(32)
+        h *= _MIX[0]
+        h ^= h >> np.uint64(29)
+        seen = h.view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(8) * 256
+        counts = np.bincount(seen.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+        out[i] = np.packbits((2 * counts.ravel() > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]
+    return out
+
+
+def band_shape(n: int) -> tuple[int, int]:
+    """(bits of a band, bands) for ``n`` texts: longer bands the more texts, and as many as find all but ``MISSED``."""
+    bits = int(min(28, max(8, np.ceil(np.log2(max(1, n) / 256)))))
+    return bits, int(np.ceil(np.log(MISSED) / np.log(1 - (1 - BIT_RATE) ** bits)))
+
+
+def _band_keys(bits: int, bands: int):
+    rng = np.random.default_rng(SEED)
+    per = 64 * WIDE // bits
+    order = np.concatenate([rng.permutation(64 * WIDE)[: per * bits] for _ in range(-(-bands // per))]).reshape(-1, bits)[:bands]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1)
+            flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+            for k, chosen in enumerate(order):
+                value = flat[:, chosen].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(value + (k << 40)), *b.columns], ["key", *b.schema.names])
+
+    return run
+
+
+def forest(words: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Edges of a least spanning forest over the pairs within ``bits``; one row of distances for each code."""
+    n = len(words)
+    apart = np.zeros((n, n), np.uint8)
+    for i in range(WIDE):
+        apart += np.bitwise_count(words[:, i, None] ^ words[None, :, i])  # 256 differing bits would wrap to 0, but are no chance event
+    label, edges = np.arange(n), []
+    near = np.triu(apart <= bits, 1)
+    for d in np.unique(apart[near]).tolist() if near.any() else []:
+        a, b = np.nonzero(near & (apart == d))
+        while True:
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            if not len(a):
+                break
+            edges.append((int(a[0]), int(b[0])))
+            label[label == label[b[0]]] = label[a[0]]
+    return edges
+
+
+def _forests(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not got:
+            return
+        key, tid, *words = [np.concatenate(c) for c in zip(*got)]
+        order = np.lexsort((tid, key))
+        key, tid, words = key[order], tid[order], np.stack(words, axis=1)[order].view(np.uint64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        a, b = [], []
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+            for i, j in forest(words[s:e], bits) if e - s > 1 else ():
+                a.append(tid[s + i])
+                b.append(tid[s + j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(tid, root) for the texts of ``docs`` that have near copies: tid is the text's xxhash64, root that of its group.
+
+    Texts are linked if the Jaccard similarity of their shingle sets is at least ``similarity``. Candidates agree
+    in a band of their wide fingerprints; of those within ``WIDE_BITS``, each task passes on a least spanning forest,
+    and its links are verified on the shingles.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = np.stack([wide_simhash(shingles(t.as_py(), words)) for t in b.column(1)]).view(np.int64) if b.num_rows else np.zeros((0, WIDE), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WIDE)]], ["tid", *[f"w{i}" for i in range(WIDE)]])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["tid", "shingles"])
+
+    text = text_or_empty()
+    rows = docs.select(F.xxhash64(text).alias("tid"), text.cast("binary").alias("text"))
+    columns = ", ".join(f"w{i} bigint" for i in range(WIDE))
+    names = [f"w{i}" for i in range(WIDE)]
+    prints_of = rows.mapInArrow(prints, f"tid bigint, {columns}")
+    texts = staged(prints_of.groupBy("tid").agg(*[F.first(w).alias(w) for w in names]), "copy-prints")
+    bits, bands = band_shape(texts.count())
+    keyed = texts.mapInArrow(_band_keys(bits, bands), f"key bigint, tid bigint, {columns}")
+    keyed = staged(keyed, "copy-bands")
+    # a band value of one text finds nothing; the others meet
+    shared = keyed.groupBy(F.col("key").alias("k")).count().where("count > 1")
+    met = keyed.join(shared, F.col("key") == F.col("k"))
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("count") * 2 / HOT_ROWS)).cast("int")
+    own = F.pmod(F.xxhash64("tid", F.lit("part")), parts).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, own), F.greatest(p, own)))
+    met = met.select(F.explode(F.when(F.col("count") <= HOT_ROWS, F.array("key")).otherwise(meets)).alias("key"), "tid", *names)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands * texts.count() // TASK_ROWS)
+    edges = staged(met.repartition(tasks, "key").mapInArrow(_forests(WIDE_BITS), "a bigint, b bigint").distinct(), "copy-edges")
+    drop_staged(keyed)
+    met_ids = staged(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copy-ids")
+    some = rows.join(met_ids, F.col("tid") == F.col("id"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    some = staged(some.mapInArrow(sets, "tid bigint, shingles array<bigint>"), "copy-shingles")
+    left, right = [some.select(F.col("tid").alias(t), F.col("shingles").alias(f"{t}_set")) for t in ("ta", "tb")]
+    both = edges.join(left, F.col("a") == F.col("ta")).join(right, F.col("b") == F.col("tb"))
+    common = F.size(F.array_intersect("ta_set", "tb_set"))
+    total = F.size("ta_set") + F.size("tb_set") - common
+    return connected_components(both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")).select(F.col("node").alias("tid"), "root")
+
+
+def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of equal or near texts: that of the least doc_id (null last), and text hash."""
+    roots = near_copies(docs, words, similarity).select(F.col("tid").alias("t"), "root")
+    tid = F.xxhash64(text_or_empty())
+    ids = docs.select("doc_id", tid.alias("tid")).groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n"))
+    ids = staged(ids.join(roots, F.col("tid") == F.col("t"), "left").select("doc_id", "tid", "n", F.coalesce("root", "tid").alias("root")), "copy-rows")
+    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tid")).alias("x")).select(F.col("x.doc_id").alias("id_"), F.col("x.tid").alias("tid_"), F.lit(True).alias("keep_"))
+    gone = ids.join(kept, ids["doc_id"].eqNullSafe(F.col("id_")) & (ids["tid"] == F.col("tid_")), "left").where("keep_ IS NULL OR n > 1")
+    # what goes, and kept rows that repeat, are the few: the texts of all others are not touched
+    gone = staged(gone.select(F.col("doc_id").alias("id_"), F.col("tid").alias("tid_"), F.col("keep_").isNotNull().alias("repeats_")), "copy-gone")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    rows = docs.select(F.col("doc_id").alias("id"), tid.alias("tid"), whole)
+    at = rows["id"].eqNullSafe(gone["id_"]) & (rows["tid"] == gone["tid_"])
+    some = small(gone, GONE_ROWS)
+    stay = rows.join(some, at, "left_anti")
+    again = rows.join(some.where("repeats_"), at, "left_semi").dropDuplicates(["id", "tid"])
+    return stay.unionByName(again).select("row_.*")

@@ -175,6 +175,20 @@ def with_score(docs: DataFrame, weights: dict[bytes, float], bias: float) -> Dat
     return out.select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(keep)], F.col("score_").alias("toxicity_score"))
 
 
+def below_threshold(docs: DataFrame, weights: dict[bytes, float], bias: float, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(lookup(weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            keep = [score((t.as_py() or "").encode(), known, bias) < threshold for t in b.column(at)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights, bias = fit(docs, table(spark, sf_dir, "labels"))
