@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ STEP = 64
 LONG = 64
 #: Neighbouring pieces remembered as fitting or not.
 MOST_PAIRS = 1 << 20
+#: Words without their last mark that are remembered, for each of two generations; about 150 bytes each.
+CORES = 350_000
 TEXTS = 256
 
 _RUNS = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -87,7 +90,7 @@ class PieceModel:
         self.breaks = not any("\n" in p for p in self.ids)  # a line's end is a boundary then
         self.worst = min(self.score.values(), default=0.0) - 10
         self.pairs: dict = {}
-        self.memo, self.cores = Memo(), Memo()
+        self.memo, self.cores = Memo(), Memo(CORES)
 
     # the lattice
 
@@ -220,7 +223,8 @@ def _encode_core(model: PieceModel, run: str) -> bytes:
     while end:
         pieces.append(last[end])
         end = back[end]
-    return np.array([i for p in reversed(pieces) for i in model.out(p)], dtype="<u4").tobytes()
+    ids = model.ids
+    return array("I", [ids[p] for p in reversed(pieces)] if all(p in ids for p in pieces) else [i for p in reversed(pieces) for i in model.out(p)]).tobytes()
 
 
 def _encode_words(model: PieceModel, runs: list[str]) -> list[bytes]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ BLOCK_IDS = 1 << 16
 END_ID = 2
 #: Bits of ids: more distinct ids than this are refused, as their ranks are sent to every task.
 MOST_IDS = 1 << 22
+#: Words remembered in lower case and without a mark, for each of two generations; about 150 bytes each.
+CORES = 350_000
+WORDS = 150_000
 #: Texts encoded together.
 TEXTS = 256
 
@@ -53,11 +57,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.words, self.cores = Memo(), Memo()
+        self.words, self.cores = Memo(WORDS), Memo(CORES)
         self.marks = dict(zip(("", ".", ","), self._direct(["", ".", ","]), strict=True))
 
     def _direct(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def _make(self, words: list[str]) -> list[bytes]:
         cores, marks = [], []
@@ -90,20 +94,27 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def id_kind(path: str) -> str:
+    """The numpy type that ids of this vocabulary have between the stages: two bytes are enough for most."""
+    return "<u2" if encoder(path).library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def _slices(column: pa.Array, n: int) -> Iterator[list]:
     for at in range(0, len(column), n):
         yield column.slice(at, n).to_pylist()
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32 bit), the end id included."""
+def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, kind: str = "<u4") -> DataFrame:
+    """doc_id and ids (binary, of numpy type ``kind``), the end id included."""
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for b in batches:
-            ids = [x + end for texts in _slices(b.column(1), TEXTS) for x in coder.encode(texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in coder.encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
@@ -133,28 +144,28 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for b in batches:
-        for ids in _slices(b.column(0), TEXTS):
-            seen = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
-            seen[: len(total)] += total
-            total = seen
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
-
-
-def ranked_ids(ids: DataFrame) -> DataFrame:
+def ranked_ids(ids: DataFrame, kind: str = "<u4") -> DataFrame:
     """(rank, id): the most frequent id has rank 0; equal counts go by id."""
-    counts = ids.select("ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for b in batches:
+            for some in _slices(b.column(0), TEXTS):
+                seen = np.bincount(np.frombuffer(b"".join(some), kind), minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+
+    counts = ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     # as many rows as the vocabulary has ids
     return counts.select((F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"), "id")
 
 
-def write_tokens(ids: DataFrame, path: str, shards: int | None = None) -> None:
-    """Write ``ids`` (doc_id, ids; staged, as it is read twice) to ``path`` in this format."""
+def write_tokens(ids: DataFrame, path: str, shards: int | None = None, kind: str = "<u4") -> None:
+    """Write ``ids`` (doc_id, ids of numpy type ``kind``; staged, as it is read twice) to ``path`` in this format."""
     spark = ids.sparkSession
-    ranked_ids(ids).write.parquet(f"{path}/ranks")
+    ranked_ids(ids, kind).write.parquet(f"{path}/ranks")
     table_rows = spark.read.parquet(f"{path}/ranks")
     if table_rows.count() > MOST_IDS:
         raise ValueError(f"more than {MOST_IDS} distinct ids")
@@ -167,25 +178,26 @@ def write_tokens(ids: DataFrame, path: str, shards: int | None = None) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, block, shard = 0, 0, None
-        names, kind = [x.split(" ")[0] for x in schema.split(", ")], None
+        names, id_type = [x.split(" ")[0] for x in schema.split(", ")], None
+        width = np.dtype(kind).itemsize
         docs, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal first, block, docs, texts, held
-            control, data = pack(sent.value[np.frombuffer(b"".join(texts), "<u4")])
-            row = [[shard], [block], [first], [docs], [[len(t) // 4 for t in texts]], [control], [data], [zlib.crc32(data, zlib.crc32(control))]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+            control, data = pack(sent.value[np.frombuffer(b"".join(texts), kind)])
+            row = [[shard], [block], [first], [docs], [[len(t) // width for t in texts]], [control], [data], [zlib.crc32(data, zlib.crc32(control))]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
             out = pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds, strict=True)], names)
             first, block, docs, texts, held = first + held, block + 1, [], [], 0
             return out
 
         for b in batches:
-            kind = b.schema.field(0).type
+            id_type = b.schema.field(0).type
             for d, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 shard = s
                 docs.append(d)
                 texts.append(t)
-                held += len(t) // 4
+                held += len(t) // width
                 if held >= BLOCK_IDS:
                     yield flush()
         if docs:
@@ -228,10 +240,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ids = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    ids = staged(ids, "token-ids")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    kind = id_kind(vocabulary)
+    ids = staged(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, kind=kind), "token-ids")
     path = staged_path(spark, "tokens")
-    write_tokens(ids, path)
+    write_tokens(ids, path, kind=kind)
     for f in {f.rsplit("/", 1)[0] for f in ids.inputFiles()}:
         drop_path(spark, f)
     out = read_tokens(spark, path)
