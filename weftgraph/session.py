@@ -1,10 +1,32 @@
-"""Session and table helpers shared by the engine."""
+"""Session, table and staging helpers shared by the engine."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table below ``sf_dir``; any path that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; in local mode a new folder where it is unset."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not (sc.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftgraph-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that loops do not grow their lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
