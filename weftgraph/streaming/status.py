@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_dir
 
@@ -27,7 +28,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    out = stream.schema.add("batch_", "int")
+    out = T.StructType([*stream.schema.fields, T.StructField("batch_", T.IntegerType())])
     return spark.read.schema(out).parquet(f"{base}/out/*")
 
 
