@@ -112,7 +112,7 @@ def with_next(docs: DataFrame, groups: int | None = None) -> DataFrame:
     cuts = sorted(set(cuts))
     outer = cuts[:: max(1, math.isqrt(len(cuts)))] if cuts else []
     # two short searches find the range of an id: the block, then the cut in it
-    blocks = [[c for c in cuts if c >= lo and (hi is None or c < hi)] for lo, hi in zip(outer, [*outer[1:], None], strict=True)]
+    blocks = [[c for c in cuts if c >= lo and (hi is None or c < hi)] for lo, hi in zip(outer, [*outer[1:], None])]
     i = F.size(F.filter(F.array(*[F.lit(c) for c in outer]).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
     before = F.element_at(F.array(F.lit(0), *[F.lit(sum(map(len, blocks[:k]))) for k in range(len(blocks))]), i + 1)
     inside = F.element_at(F.array(F.array().cast("array<bigint>"), *[F.array(*[F.lit(c) for c in b]).cast("array<bigint>") for b in blocks]), i + 1)

@@ -133,7 +133,8 @@ def judge(pages: DataFrame, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame
     fits = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.filter(hits, lambda k: F.array_contains(F.array(*[F.lit(k) for k in by_rule]), k)))
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
     rows = rows.withColumn("rule", longest)
-    method = F.when(F.size(hits) > 0, "block").otherwise("allow")
+    # a rule's key that only the root of an empty path met is no listed host
+    method = F.when(F.exists(hits, lambda k: ~F.array_contains(F.array(*[F.lit(x) for x in by_rule]), k)), "block").otherwise("allow")
     return rows.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.element_at(names, F.col("rule"))).otherwise(method)).drop("keys_")
 
 
