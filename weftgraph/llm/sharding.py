@@ -28,8 +28,6 @@ LARGE = 0.5
 BUCKETS = 256
 #: Rows of one sorted run when rows are numbered.
 RUN_ROWS = 20_000
-#: Hashes are dealt in this range.
-RANGE = 1 << 30
 
 
 def _pick(options: list, of: Column) -> Column:
@@ -56,7 +54,7 @@ def ranked(df: DataFrame, by: list[str], order: list, runs: int, name: str) -> D
 
 
 def lay_out(large: list, room: list[int]) -> dict:
-    """For each large group, [(upper end of its rows' hashes, shard)]: emptiest shards first, filled to their room."""
+    """For each large group, [(end of its rows' numbers, shard)]: emptiest shards first, filled to their room."""
     plan = {}
     for group, n in large:
         left, done, parts = n, 0, []
@@ -66,13 +64,13 @@ def lay_out(large: list, room: list[int]) -> dict:
             room[shard] -= take
             left -= take
             done += take
-            parts.append((RANGE * done // n, shard))
+            parts.append((done, shard))
         plan[group] = parts
     return plan
 
 
-def propagate(rows: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Linked rows (group, hash, ...) with a column shard; about at most ``quota`` rows a shard.
+def propagate(rows: DataFrame, quota: list[int], rounds: int = ROUNDS, runs: int = 16) -> DataFrame:
+    """Linked rows (group, hash, ...) with columns shard and fixed (laid out by itself); about at most ``quota`` rows a shard.
 
     ``rows`` has only groups of two rows or more, and a column n with their group's size.
     """
@@ -83,14 +81,19 @@ def propagate(rows: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFr
     room = list(quota)
     plan = lay_out(large, room)
     start = F.pmod("hash", F.lit(shards)).cast("int")
-    spread = F.shiftright(F.xxhash64("hash", F.lit("spread")), 34) + (RANGE >> 1)
-    for group, parts in plan.items():
-        inside = F.lit(parts[-1][1])
-        for end, shard in reversed(parts[:-1]):
-            inside = F.when(spread < end, F.lit(shard)).otherwise(inside)
-        start = F.when(F.col("group") == group, inside).otherwise(start)
     fixed = F.col("group").isin(list(plan)) if plan else F.lit(False)
-    state = staged(rows.withColumn("shard", start).withColumn("fixed", fixed), "shard-round")
+    state = rows.where(~fixed).withColumn("shard", start).withColumn("fixed", F.lit(False))
+    if plan:
+        # rows of a large group are numbered, so that each of its shards gets exactly what was laid out
+        many = ranked(rows.where(fixed), ["group"], ["hash"], runs, "at")
+        to = F.lit(0)
+        for group, parts in plan.items():
+            inside = F.lit(parts[-1][1])
+            for end, shard in reversed(parts[:-1]):
+                inside = F.when(F.col("at") < end, F.lit(shard)).otherwise(inside)
+            to = F.when(F.col("group") == group, inside).otherwise(to)
+        state = state.unionByName(many.withColumn("shard", to.cast("int")).withColumn("fixed", F.lit(True)).drop("at"))
+    state = staged(state, "shard-round")
     for r in range(rounds):
         loads = {x["shard"]: x["n"] for x in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         tally = state.where(~F.col("fixed")).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("here"))
@@ -132,12 +135,14 @@ def shard_rows(base: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     marked = staged(base.join(sizes, F.col("group") == F.col("g"), "left").drop("g"), "shard-marked")
     total = marked.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    runs = max(16, min(4096, total // (shards * RUN_ROWS)))
-    linked = propagate(marked.where("n IS NOT NULL"), quota, rounds).drop("fixed")
-    # whole groups stand together in a shard's order, so that what exceeds its quota is few groups' rows
+    runs = 2 * max(8, min(2048, total // (2 * shards * RUN_ROWS)))
+    linked = propagate(marked.where("n IS NOT NULL"), quota, rounds, runs)
+    # laid-out rows come first in a shard's order, then whole groups, so that what exceeds its quota is few groups' rows
     order = ["group", *[c for c in keep if c != "group"]]
-    linked = linked.withColumn("own_", F.col("hash")).withColumn("hash", F.xxhash64("group"))
-    linked = staged(ranked(linked, ["shard"], order, runs, "at").withColumn("hash", F.col("own_")).drop("own_"), "shard-linked")
+    half = runs // 2
+    place = F.when(F.col("fixed"), F.pmod("hash", F.lit(half))).otherwise(half + F.pmod(F.xxhash64("group"), F.lit(half)))
+    linked = linked.withColumn("own_", F.col("hash")).withColumn("hash", place)
+    linked = staged(ranked(linked, ["shard"], order, runs, "at").withColumn("hash", F.col("own_")).drop("own_", "fixed"), "shard-linked")
     stay = F.col("at") < _pick(quota, F.col("shard"))
     counts = {x["shard"]: x["n"] for x in linked.where(stay).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = [counts.get(s, 0) for s in range(shards)]
