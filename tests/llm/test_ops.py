@@ -174,20 +174,20 @@ def test_media_round_trip(spark, docs, empty):
     from weftgraph.llm.common import staged, staged_path
 
     listed = staged(media.manifests(docs), "m")
-    store = media.write_chunks(docs, staged_path(spark, "c"))
-    back = {bytes(r["media"]): r for r in media.read_media(listed.select("media", "digests").distinct(), store).collect()}
+    store, dictionary = media.write_chunks(docs, staged_path(spark, "c"))
+    back = {bytes(r["media"]): r for r in media.read_media(listed.select("media", "digests").distinct(), store, dictionary).collect()}
     texts = defaultdict(list)
     for i, t, *_ in make_docs():
         texts[i].append((t or "").encode())
     for r in listed.collect():
         x = back[bytes(r["media"])]
         payload = media.payload_of(next(t for t in texts[r["doc_id"]] if len(t) == r["n_bytes"]))
-        assert x["payload_sha256"] == hashlib.sha256(payload).hexdigest() and x["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert bytes(x["payload"]) == hashlib.sha256(payload).digest() and x["tail_crc32"] == zlib.crc32(payload[-64:])
         assert x["payload_bytes"] == len(payload) == x["media_bytes"] - 44 and len(payload) % 64 == 0 and payload
     assert store.count() == store.select("digest").distinct().count()
-    assert media.write_chunks(docs, staged_path(spark, "c"), known=store).count() == 0
-    none = media.write_chunks(empty, staged_path(spark, "c"))
-    assert none.count() == 0 and media.read_media(media.manifests(empty).select("media", "digests"), none).count() == 0
+    assert media.write_chunks(docs, staged_path(spark, "c"), known=store)[0].count() == 0
+    none, nothing = media.write_chunks(empty, staged_path(spark, "c"))
+    assert none.count() == 0 and media.read_media(media.manifests(empty).select("media", "digests"), none, nothing).count() == 0
 
 
 # 4

@@ -40,6 +40,8 @@ RATE = 8000
 LEAST, MOST, CUT_BITS = 2048, 65536, 13
 #: Digests that a task remembers as already sent.
 SENT = 200_000
+#: Chunks are compressed with a dictionary made from the beginnings of at most so many texts; it only changes their size on disk.
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 8192, 112_640, 9
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 0) for i in range(256)], dtype=np.uint32)
 
@@ -120,21 +122,39 @@ def manifests(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary, digests array<binary>")
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sent: set[bytes] = set()
-    packer = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        digests, data = [], []
-        for t in b.column(0):
-            for c in chunks(to_wav(payload_of(t.as_py()))):
-                d = hashlib.sha256(c).digest()
-                if d not in sent:
-                    if len(sent) >= SENT:
-                        sent.clear()
-                    sent.add(d)
-                    digests.append(d)
-                    data.append(packer.compress(c))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
+def make_dictionary(docs: DataFrame) -> bytes:
+    """A compression dictionary of the texts; empty where there are too few."""
+    n = docs.count()
+    drawn = docs.where(F.pmod(F.xxhash64("text", F.lit("dictionary")), F.lit(1_000_000)) < int(2 * 1e6 * SAMPLE / max(1, n)) + 1)
+    got = drawn.select(F.substring(text_or_empty().cast("binary"), 1, SAMPLE_BYTES).alias("t")).limit(SAMPLE).collect()  # 16 MB at most
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["t"]) for r in got if r["t"]]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(raw) if raw else None
+
+
+def _chunk_rows(dictionary: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
+        for b in batches:
+            digests, data = [], []
+            for t in b.column(0):
+                for c in chunks(to_wav(payload_of(t.as_py()))):
+                    d = hashlib.sha256(c).digest()
+                    if d not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(d)
+                        digests.append(d)
+                        data.append(packer.compress(c))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
+
+    return run
 
 
 def release(spark: SparkSession) -> None:
@@ -144,10 +164,15 @@ def release(spark: SparkSession) -> None:
     time.sleep(1)
 
 
-def write_chunks(docs: DataFrame, path: str, known: DataFrame | None = None) -> DataFrame:
-    """Store the chunks (digest, data) of ``docs`` at ``path`` that ``known`` (digest) lacks; the store, bucketed by digest."""
+def write_chunks(docs: DataFrame, path: str, known: DataFrame | None = None) -> tuple[DataFrame, bytes]:
+    """Store the chunks of ``docs`` at ``path`` that ``known`` (digest) lacks.
+
+    Returns the store (digest, data), bucketed by digest, and its dictionary, which lies in the folder beside it.
+    """
     spark = docs.sparkSession
-    rows = docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(_chunk_rows, "digest binary, data binary")
+    dictionary = make_dictionary(docs)
+    spark.range(1).select(F.lit(bytearray(dictionary)).alias("dictionary")).write.parquet(f"{path}-dictionary")
+    rows = docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(_chunk_rows(dictionary), "digest binary, data binary")
     if known is not None:
         rows = rows.join(known.select("digest"), "digest", "left_anti")
     name = f"chunks_{uuid.uuid4().hex}"
@@ -159,11 +184,14 @@ def write_chunks(docs: DataFrame, path: str, known: DataFrame | None = None) ->
     spark.sql(f"DROP TABLE {name}")
     del rows, writer
     release(spark)
-    return store
+    return store, dictionary
+
+
+def _rebuild(dictionary: bytes):
+    return lambda batches: _rebuilt(batches, zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)))
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpacker = zstandard.ZstdDecompressor()
+def _rebuilt(batches: Iterator[pa.RecordBatch], unpacker: zstandard.ZstdDecompressor) -> Iterator[pa.RecordBatch]:
     media, parts, n = None, [], 0
 
     def done() -> list:
@@ -171,10 +199,10 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(parts) != n or hashlib.sha256(whole).digest() != media:
             raise ValueError("a file's chunks do not give its digest")
         payload = from_wav(whole)
-        return [media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(whole), media.hex(), features(payload)]
+        return [media, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-UNIT:]), len(whole), features(payload)]
 
-    names = ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["media", "payload_bytes", "payload", "tail_crc32", "media_bytes", "feature"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
     for b in batches:
         out = []
         for m, digest, size, data in zip(*[b.column(c) for c in ("media", "digest", "n", "data")], strict=True):
@@ -193,19 +221,20 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(done(), kinds, strict=True)], names)
 
 
-def read_media(files: DataFrame, store: DataFrame) -> DataFrame:
-    """By file of ``files`` (media, digests; distinct): what its verified bytes give. See the module."""
+def read_media(files: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
+    """By file of ``files`` (media, digests; distinct): what its verified bytes give. See the module; payload is a SHA-256."""
     places = files.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
     rows = places.join(store, "digest").select("media", "at", "n", "digest", "data")
     rows = rows.repartition("media").sortWithinPartitions("media", "at").select("media", "digest", "n", "data")
-    return rows.mapInArrow(_rebuild, "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return rows.mapInArrow(_rebuild(dictionary), "media binary, payload_bytes bigint, payload binary, tail_crc32 bigint, media_bytes bigint, feature string")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     listed = staged(manifests(docs), "media-manifests")
-    store = write_chunks(docs, staged_path(spark, "media-chunks"))
+    store, dictionary = write_chunks(docs, staged_path(spark, "media-chunks"))
     files = listed.groupBy("media").agg(F.first("digests").alias("digests"))
-    back = read_media(files, store).withColumnRenamed("media", "m")
+    back = read_media(files, store, dictionary).withColumnRenamed("media", "m")
     out = listed.select("doc_id", "n_bytes", "media").join(back, F.col("media") == F.col("m"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    hexed = lambda c, name: F.lower(F.hex(c)).alias(name)
+    return out.select("doc_id", "n_bytes", "payload_bytes", hexed("payload", "payload_sha256"), "tail_crc32", "media_bytes", hexed("media", "media_sha256"), "feature")
