@@ -309,8 +309,10 @@ def forest(words: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Edges of a least spanning forest over the pairs within ``bits``; one row of distances for each code."""
     n = len(words)
     apart = np.zeros((n, n), np.uint8)
-    for i in range(WIDE):
-        apart += np.bitwise_count(words[:, i, None] ^ words[None, :, i])  # 256 differing bits would wrap to 0, but are no chance event
+    for at in range(0, n, 256):  # a block of rows at a time, as the differing bits take eight times the distances
+        for i in range(WIDE):
+            # 256 differing bits would wrap to 0, but are no chance event
+            apart[at : at + 256] += np.bitwise_count(words[at : at + 256, i, None] ^ words[None, :, i])
     label, edges = np.arange(n), []
     near = np.triu(apart <= bits, 1)
     for d in np.unique(apart[near]).tolist() if near.any() else []:
