@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rule; every other character belongs to a word.
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import read_table as table
+from ..session import shared_dir
 
+__all__ = ["BLANK", "ascii_lower", "drop_path", "drop_staged", "shared_dir", "small", "staged", "staged_path", "table", "text_or_empty", "words_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset one is chosen, but only in local mode; on a cluster a folder of
-    one machine would lose rows, so that raises.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not (sc.master or "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftgraph-"))
-    return sc.getCheckpointDir().rstrip("/")
+#: White space of the word rule; every other character belongs to a word.
+BLANK = r"[\x20\x09-\x0D]+"
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
