@@ -40,9 +40,10 @@ STEP = 64
 #: Longer runs between sure boundaries are streamed and not remembered.
 LONG = 64
 #: Neighbouring pieces remembered as fitting or not.
-MOST_PAIRS = 1 << 20
+MOST_PAIRS = 1 << 18
 #: Words without their last mark that are remembered, for each of two generations; about 150 bytes each.
-CORES = 350_000
+CORES = 200_000
+WORDS = 150_000
 TEXTS = 256
 
 _RUNS = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -90,7 +91,7 @@ class PieceModel:
         self.breaks = not any("\n" in p for p in self.ids)  # a line's end is a boundary then
         self.worst = min(self.score.values(), default=0.0) - 10
         self.pairs: dict = {}
-        self.memo, self.cores = Memo(), Memo(CORES)
+        self.memo, self.cores = Memo(WORDS), Memo(CORES)
 
     # the lattice
 
