@@ -20,7 +20,7 @@ def row_zip(spark, d):
     return rows.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("predicted"), F.coalesce("n", F.lit(0)).alias("retrieved"))
 
 
-@query("summary_branch", "SELECT conv_id, count(*) AS items, sum(length(text)) AS tokens, CASE WHEN count(*) = 1 THEN 'single' WHEN count(*) < 8 AND sum(length(text)) < 1200 THEN 'join' ELSE 'summarise' END AS branch FROM conversations GROUP BY conv_id")
+@query("summary_branch", "SELECT conv_id, count(*) AS items, sum(length(text))::BIGINT AS tokens, CASE WHEN count(*) = 1 THEN 'single' WHEN count(*) < 8 AND sum(length(text)) < 1200 THEN 'join' ELSE 'summarise' END AS branch FROM conversations GROUP BY conv_id")
 def summary_branch(spark, d):
     """Which way a list of descriptions goes: as it is, joined, or to the summary hook."""
     n, tokens = F.count(F.lit(1)), F.sum(F.length("text"))
@@ -55,13 +55,13 @@ def chunk_pick_vector(spark, d):
     return rows.select("label", "vec_id", score.alias("score")).withColumn("n", F.row_number().over(order)).where("n <= 5").select("label", "vec_id", "n")
 
 
-@query("context_truncation", "SELECT o_custkey, o_orderkey, spent FROM (SELECT *, sum(length(o_orderpriority) + length(o_orderstatus)) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders) WHERE spent <= 60")
+@query("context_truncation", "SELECT o_custkey, o_orderkey, spent FROM (SELECT *, sum(length(o_orderpriority) + length(o_orderstatus)) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM orders) WHERE spent <= 60")
 def context_truncation(spark, d):
     rows = read_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (F.length("o_orderpriority") + F.length("o_orderstatus")).alias("cost"))
     return ranking.within_budget(rows, ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], "cost", 60).select("o_custkey", "o_orderkey", "spent")
 
 
-@query("dynamic_budget", "SELECT conv_id, greatest(0, 30000 - (sum(CASE WHEN role = 'system' THEN length(text) ELSE 0 END) + sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) + 200)) AS available FROM conversations GROUP BY conv_id")
+@query("dynamic_budget", "SELECT conv_id, greatest(0, 30000 - (sum(CASE WHEN role = 'system' THEN length(text) ELSE 0 END) + sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) + 200))::BIGINT AS available FROM conversations GROUP BY conv_id")
 def dynamic_budget(spark, d):
     size = lambda role: F.sum(F.when(F.col("role") == role, F.length("text")).otherwise(0))
     return read_table(spark, d, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(0), 30000 - (size("system") + size("user") + 200)).alias("available"))

@@ -52,7 +52,7 @@ def _graph(spark, d):
     return rows, degrees
 
 
-@query("local_search", f"WITH {_HITS}, {_LOCAL} SELECT l.a, l.b, 1.0 AS weight, x.d + y.d AS rank FROM l JOIN g x ON x.n = l.a JOIN g y ON y.n = l.b WHERE s IN (SELECT 's' || id FROM k)")
+@query("local_search", f"WITH {_HITS}, {_LOCAL} SELECT l.a, l.b, 1.0::DOUBLE AS weight, x.d + y.d AS rank FROM l JOIN g x ON x.n = l.a JOIN g y ON y.n = l.b WHERE s IN (SELECT 's' || id FROM k)")
 def local_search(spark, d):
     """Entity hits and the edges at them."""
     entities = R.hits(_vectors(spark, d), _probe(spark, d), 40, 0.0).select(F.concat(F.lit("s"), "id").alias("id"))

@@ -193,7 +193,7 @@ def entity_record_parse(spark, d):
 
 @query(
     "relation_record_parse",
-    "SELECT o_orderkey, 'customer ' || o_custkey AS src_id, 'order ' || o_orderkey AS tgt_id, replace(o_orderpriority, '-', ',') AS keywords, o_orderstatus AS description, 1.0 AS weight FROM orders",
+    "SELECT o_orderkey, 'customer ' || o_custkey AS src_id, 'order ' || o_orderkey AS tgt_id, replace(o_orderpriority, '-', ',') AS keywords, o_orderstatus AS description, 1.0::DOUBLE AS weight FROM orders",
 )
 def relation_record_parse(spark, d):
     rows = read_table(spark, d, "orders").select(
