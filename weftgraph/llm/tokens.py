@@ -17,6 +17,7 @@ table gives no blocks and an empty result; a document is never split, so a very
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ END_ID = 2
 #: Bits of ids: more distinct ids than this are refused, as their ranks are sent to every task.
 MOST_IDS = 1 << 22
 #: Words remembered in lower case and without a mark, for each of two generations; about 150 bytes each.
-CORES = 350_000
+CORES = 500_000
 WORDS = 150_000
 #: Texts encoded together.
 TEXTS = 256
@@ -43,12 +44,25 @@ TEXTS = 256
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.int64)
 
 
+#: Marks with which letters of ASCII can become one character.
+_JOINING = re.compile("[\u0300-\u036f]")
+
+
+#: The byte-level alphabet by its rule: printable bytes stand for themselves, the others for what follows 255, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
+
+def _plain(word: str) -> bool:
+    """Latin letters that lower-casing and composition keep one by one."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
+
+
 class Encoder:
     """The tokenizers library behind a memo of words.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its words. A word of ASCII
-    letters before a full stop or comma is looked up without it and in lower case, as the vocabulary's own normaliser and
-    splitter would have it.
+    The vocabulary drops white space and never merges across it, so a text's ids are those of its words. A word of Latin
+    letters before a full stop or comma is looked up without it, as the vocabulary's own splitter would have it.
     """
 
     def __init__(self, path: str):
@@ -63,23 +77,43 @@ class Encoder:
     def _direct(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _cores(self, words: list[str]) -> list[bytes]:
+        """Plain lower-case words need no normaliser and splitter: only their bytes' signs and the library's merges."""
+        merge, signs = self.library.model.tokenize, _SIGNS
+        out, other = [], []
+        for i, w in enumerate(words):
+            if _plain(w):
+                out.append(array("I", [t.id for t in merge(w if w.isascii() else "".join([signs[c] for c in w.encode()]))]).tobytes())
+            else:
+                out.append(b"")
+                other.append(i)
+        for i, ids in zip(other, self._direct([words[i] for i in other]) if other else (), strict=True):
+            out[i] = ids
+        return out
+
     def _make(self, words: list[str]) -> list[bytes]:
         cores, marks = [], []
         for w in words:
             mark = w[-1] if w and w[-1] in ".," else ""
             core = w[: len(w) - len(mark)]
-            plain = core.isascii() and core.isalpha()
+            plain = _plain(core)
             cores.append(core.lower() if plain else w)
             marks.append(mark if plain else "")
-        return [c + self.marks[m] for c, m in zip(self.cores.values(cores, self._direct), marks, strict=True)]
+        return [c + self.marks[m] for c, m in zip(self.cores.values(cores, self._cores), marks, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A-Z are lower-cased at once. Texts in which that could matter to the normaliser (marks that join with
+        letters) or make a special token are left to the library whole.
+        """
+        whole = [i for i, t in enumerate(texts) if "<|" in t or not t.isascii() and _JOINING.search(t)]
+        aside = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True)) if whole else {}
+        parts = [[] if i in aside else t.encode().lower().decode().replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         got = self.words.values([w for p in parts for w in p], self._make)
         out, at = [], 0
-        for p in parts:
-            out.append(b"".join(got[at : at + len(p)]))
+        for i, p in enumerate(parts):
+            out.append(aside[i] if i in aside else b"".join(got[at : at + len(p)]))
             at += len(p)
         return out
 
