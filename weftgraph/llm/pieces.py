@@ -40,9 +40,9 @@ STEP = 64
 #: Longer runs between sure boundaries are streamed and not remembered.
 LONG = 64
 #: Neighbouring pieces remembered as fitting or not.
-MOST_PAIRS = 1 << 18
+MOST_PAIRS = 1 << 19
 #: Words without their last mark that are remembered, for each of two generations; about 150 bytes each.
-CORES = 200_000
+CORES = 300_000
 WORDS = 150_000
 TEXTS = 256
 
