@@ -385,6 +385,42 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 103: 100}
 
 
+def groups_by_force(texts):
+    """The least number of each text's group: likenesses of at least 0.8 on five-word shingles, chained."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (word_list(t.lower()) for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if root[i] != root[j] and common >= 0.8 * (len(a) + len(sets[j]) - common):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return sorted(r[0] for r in simhash.one_of_each_group(docs).select("doc_id").collect())
+
+
+def test_copies_around_the_limit(spark, monkeypatch):
+    # in a template's group many pairs fail just below the limit, so a forest's links do not suffice
+    rng, texts = random.Random(11), []
+    for t in range(5):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for k in range(80):
+            w = list(base)
+            for at in rng.sample(range(300), rng.choice((3, 4, 5, 5, 6))):
+                w[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    root = groups_by_force(texts)
+    want = sorted(set(root))
+    assert 10 < len(want) < 300
+    assert kept_of(spark, texts) == want
+    monkeypatch.setattr(simhash, "PART_TEXTS", 9)  # groups cut into many parts
+    assert kept_of(spark, texts) == want
+
+
 def test_one_of_each_group(spark, docs, empty):
     rows = make_docs()
     sets = [shingle_set(t) for _, t, *_ in rows]

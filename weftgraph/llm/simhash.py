@@ -257,6 +257,8 @@ WIDE, WIDE_BITS = 4, 54
 BIT_RATE, MISSED = 0.155, 0.002
 #: Rows to go up to which they (24 bytes each) are broadcast.
 GONE_ROWS = 1_000_000
+#: Texts and shingles of a part of a group that is verified whole, and shingles of a task that does so.
+PART_TEXTS, PART_SHINGLES, TASK_SHINGLES = 500, 500_000, 4_000_000
 #: Odd multipliers that make four hashes of one.
 _MIX = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) | 1 for i in range(WIDE)], dtype=np.uint64)
 
@@ -347,12 +349,94 @@ def _forests(bits: int):
     return run
 
 
+def true_links(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of at least ``similarity`` that join sets of different labels as all such links would; a set's members are distinct.
+
+    Only pairs that earlier links have not joined are looked at, and each of those is.
+    """
+    size = np.array([len(x) for x in sets])
+    label, often = np.unique(labels, return_inverse=True, return_counts=True)[1:]
+    order = np.argsort(often[label], kind="stable")  # members of large components last, where nothing is left to join
+    label, size = label[order], size[order]
+    values, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    end = np.cumsum(size)
+    own, edges = np.zeros(len(values), np.int64), []
+    for i in range(len(sets) - 1):
+        other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(other):
+            continue
+        mine = ids[end[i] - size[i] : end[i]]
+        own[mine] = 1
+        seen = np.concatenate([[0], np.cumsum(own[ids[end[i] :]])])
+        own[mine] = 0
+        common = seen[end[other] - end[i]] - seen[end[other] - size[other] - end[i]]
+        total = size[i] + size[other] - common
+        for j in other[(total == 0) | (common >= similarity * total)].tolist():
+            if label[i] != label[j]:
+                edges.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return edges
+
+
+def _true_links(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, tids, comps, sets = [], [], [], []
+        for b in batches:
+            keys.append(b.column(0).to_numpy(zero_copy_only=False))
+            tids.append(b.column(1).to_numpy(zero_copy_only=False))
+            comps.append(b.column(2).to_numpy(zero_copy_only=False))
+            ends = b.column(3).offsets.to_numpy()
+            sets += np.split(b.column(3).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends[1:-1] - ends[0]) if b.num_rows else []
+        if not keys:
+            return
+        key, tid, comp = np.concatenate(keys), np.concatenate(tids), np.concatenate(comps)
+        order = np.lexsort((tid, key))
+        for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            links = true_links([sets[i] for i in some], comp[some], similarity)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(tid[some[[x[k] for x in links]]]) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def open_links(candidates: DataFrame, sure: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Links (a, b) between the components ``sure`` of a group of ``candidates``; None if no group has two.
+
+    Of a group whose candidate links did not all hold, every two texts meet in a task that has their shingles, but
+    those of its largest component only meet the others. What is within a task is cut into parts by texts and shingles.
+    """
+    groups = connected_components(candidates).select(F.col("node").alias("g_node"), F.col("root").alias("g_root"))
+    known = sure.select(F.col("node").alias("s_node"), F.col("root").alias("s_root"))
+    rows = sets.select("tid", F.size("shingles").cast("long").alias("n")).join(groups, F.col("tid") == F.col("g_node"), "left").join(known, F.col("tid") == F.col("s_node"), "left")
+    rows = staged(rows.select("tid", "n", F.coalesce("g_root", "tid").alias("group"), F.coalesce("s_root", "tid").alias("comp")), "copy-groups")
+    comps = rows.groupBy(F.col("group").alias("of"), "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("c", "n", "comp"))
+    shape = comps.groupBy("of").agg(largest.alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    parts = lambda c, n: F.ceil(F.greatest(c / PART_TEXTS, n / PART_SHINGLES, F.lit(1.0))).cast("int")
+    shape = shape.select("of", F.col("top.comp").alias("most"), F.col("top.c").alias("c"), F.col("top.n").alias("n"), (F.col("c") - F.col("top.c")).alias("rest_c"), (F.col("n") - F.col("top.n")).alias("rest_n"))
+    shape = staged(shape.select("of", "most", "n", "rest_n", parts(F.col("c"), F.col("n")).alias("big"), parts(F.col("rest_c"), F.col("rest_n")).alias("rest")), "copy-open")
+    load = shape.agg(F.sum(F.col("n") * F.col("rest") + F.col("rest_n") * (F.col("big") + F.col("rest")))).first()[0]
+    if load is None:
+        return None
+    rows = rows.drop("n").join(shape.drop("n", "rest_n"), F.col("group") == F.col("of"))
+    is_big = F.col("comp") == F.col("most")
+    own = F.pmod(F.xxhash64("tid", F.lit("part")), F.when(is_big, F.col("big")).otherwise(F.col("rest"))).cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    big_meets = F.transform(to("rest"), lambda p: F.xxhash64("group", F.lit("big"), own, p))
+    rest_meets = F.concat(F.transform(to("big"), lambda p: F.xxhash64("group", F.lit("big"), p, own)), F.transform(to("rest"), lambda p: F.xxhash64("group", F.least(p, own), F.greatest(p, own))))
+    rows = rows.select(F.col("tid").alias("id"), "comp", F.explode(F.when(is_big, big_meets).otherwise(rest_meets)).alias("key"))
+    rows = rows.join(sets, F.col("id") == F.col("tid")).select("key", "tid", "comp", "shingles")
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), load // TASK_SHINGLES)
+    return rows.repartition(tasks, "key").mapInArrow(_true_links(similarity), "a bigint, b bigint")
+
+
 def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(tid, root) for the texts of ``docs`` that have near copies: tid is the text's xxhash64, root that of its group.
 
     Texts are linked if the Jaccard similarity of their shingle sets is at least ``similarity``. Candidates agree
     in a band of their wide fingerprints; of those within ``WIDE_BITS``, each task passes on a least spanning forest,
-    and its links are verified on the shingles.
+    and its links are verified on the shingles. Where a link of a forest does not hold, others that the forest left out may:
+    the texts of such a group are verified whole.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +474,11 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
     both = edges.join(left, F.col("a") == F.col("ta")).join(right, F.col("b") == F.col("tb"))
     common = F.size(F.array_intersect("ta_set", "tb_set"))
     total = F.size("ta_set") + F.size("tb_set") - common
-    return connected_components(both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")).select(F.col("node").alias("tid"), "root")
+    sure = connected_components(both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b"))
+    more = open_links(edges, sure, some, similarity)
+    if more is not None:
+        sure = connected_components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return sure.select(F.col("node").alias("tid"), "root")
 
 
 def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
