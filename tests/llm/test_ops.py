@@ -421,6 +421,25 @@ def test_copies_around_the_limit(spark, monkeypatch):
     assert kept_of(spark, texts) == want
 
 
+def test_copies_of_all_lengths(spark, monkeypatch):
+    # at exactly 0.8 or just above: 8 words and one more, and longer texts with some of their words changed
+    rng, texts = random.Random(12), []
+    for k in range(300):
+        w = [f"w{rng.randrange(3000)}" for _ in range(8)]
+        texts += [" ".join(w), " ".join([*w, f"y{k}"])]
+    for n in (14, 49, 300, 1500):
+        for _ in range(12):
+            w = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            v = [*w, *[f"z{rng.randrange(10**6)}" for _ in range((n - 4) // 4)]]
+            texts += [" ".join(w), " ".join(v), " ".join([*v, "last"])]
+    texts += [" ".join(["same line of seven words in here", *[f"u{rng.randrange(10**6)}" for _ in range(9)]]) for _ in range(60)]
+    want = sorted(set(groups_by_force(texts)))
+    assert kept_of(spark, texts) == want
+    monkeypatch.setattr(simhash, "HOT_ROWS", 20)  # keys cut into parts
+    monkeypatch.setattr(simhash, "COUNTED_TEXTS", 50)
+    assert kept_of(spark, texts) == want
+
+
 def test_one_of_each_group(spark, docs, empty):
     rows = make_docs()
     sets = [shingle_set(t) for _, t, *_ in rows]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, small, staged, table, text_or_empty
+from .common import small, staged, table, text_or_empty
 from .components import connected_components
 
 WORDS, SEED, BITS = 4, 42, 4
@@ -248,19 +248,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# near copies by similarity: wider fingerprints, found by bands and verified on the shingles
+# near copies by similarity: found by their rarest shingles and verified on all
 
 COPY_WORDS, SIMILARITY = 5, 0.8
-#: Four 64-bit fingerprints make a wide one; at similarity 0.8 two texts differ in about 37 of its 256 bits, and rarely in more than this.
-WIDE, WIDE_BITS = 4, 54
-#: Part of differing bits for which the number of bands is chosen, and the part of such pairs that may stay unfound.
-BIT_RATE, MISSED = 0.155, 0.002
+#: Texts whose shingles are counted, so that the others are ordered by rarity, and shingles kept as frequent. Any order finds all copies.
+COUNTED_TEXTS, FREQUENT = 10_000, 200_000
+#: Least and most bits of a text's parity print, as powers of two; 64 at least.
+LEAST_PRINT, MOST_PRINT = 6, 14
+#: All pairs of a key with at most so many texts are looked at together; longer keys one text at a time.
+FEW = 8
 #: Rows to go up to which they (24 bytes each) are broadcast.
 GONE_ROWS = 1_000_000
 #: Texts and shingles of a part of a group that is verified whole, and shingles of a task that does so.
 PART_TEXTS, PART_SHINGLES, TASK_SHINGLES = 500, 500_000, 4_000_000
-#: Odd multipliers that make four hashes of one.
-_MIX = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) | 1 for i in range(WIDE)], dtype=np.uint64)
 
 
 def shingles(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
@@ -272,81 +272,135 @@ def shingles(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
     return np.sort(np.array(list(found), dtype=np.uint64))
 
 
-def wide_simhash(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(WIDE, np.uint64)
-    for i, m in enumerate(_MIX if len(hashes) else ()):
-        h = hashes * m
-        h ^= h >> np.uint64(32)
-        h *= _MIX[0]
-        h ^= h >> np.uint64(29)
-        seen = h.view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(8) * 256
-        counts = np.bincount(seen.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
-        out[i] = np.packbits((2 * counts.ravel() > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]
-    return out
-
-
-def band_shape(n: int) -> tuple[int, int]:
-    """(bits of a band, bands) for ``n`` texts: longer bands the more texts, and as many as find all but ``MISSED``."""
-    bits = int(min(28, max(8, np.ceil(np.log2(max(1, n) / 256)))))
-    return bits, int(np.ceil(np.log(MISSED) / np.log(1 - (1 - BIT_RATE) ** bits)))
-
-
-def _band_keys(bits: int, bands: int):
-    rng = np.random.default_rng(SEED)
-    per = 64 * WIDE // bits
-    order = np.concatenate([rng.permutation(64 * WIDE)[: per * bits] for _ in range(-(-bands // per))]).reshape(-1, bits)[:bands]
-
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles, so many that any two texts of at least ``similarity`` have one of theirs in common; a text without any has 0."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64)
+    count = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        count = np.where(frequent[at] == hashes, often[at], 0)
+    return hashes[np.lexsort((hashes, count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def print_level(n: int) -> int:
+    """The power of two of the bits in the print of ``n`` shingles: one to two bits for each."""
+    return min(MOST_PRINT, max(LEAST_PRINT, int(n).bit_length()))
+
+
+def parity_print(hashes: np.ndarray) -> np.ndarray:
+    """Of each bit, whether an odd number of shingles falls on it: two prints differ in no more bits than the sets in shingles."""
+    bits = 1 << print_level(len(hashes))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+class Prints:
+    """Prints by level; a print folded in half is the one of the level below, and similar texts are at most a level apart."""
+
+    def __init__(self, n: np.ndarray, prints: list[bytes], similarity: float):
+        self.n, self.similarity = n, similarity
+        self.level = np.array([len(x).bit_length() + 2 for x in prints])
+        self.at, self.words = {}, {}
+        for level in np.unique(self.level).tolist():
+            own, above = np.flatnonzero(self.level == level), np.flatnonzero(self.level == level + 1)
+            half = (1 << level) // 64
+            rows = [np.frombuffer(b"".join(prints[i] for i in k.tolist()), "<u8").reshape(len(k), w) for k, w in ((own, half), (above, 2 * half))]
+            self.words[level] = np.concatenate([rows[0], rows[1][:, :half] ^ rows[1][:, half:]])
+            self.at[level] = np.zeros(len(n), np.int64)
+            self.at[level][np.concatenate([own, above])] = np.arange(len(own) + len(above))
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of pairs that may be similar, the part of their shingles that differs at least)."""
+        n, m = self.n[a], self.n[b]
+        keep = np.flatnonzero(np.minimum(n, m) >= self.similarity * np.maximum(n, m) - 1e-9)
+        a, b, both = a[keep], b[keep], (n + m)[keep]
+        apart, level = np.zeros(len(keep), np.int64), np.minimum(self.level[a], self.level[b])
+        for v in np.unique(level).tolist():
+            some, words, at = np.flatnonzero(level == v), self.words[v], self.at[v]
+            step = max(1, (1 << 20) // words.shape[1])
+            for k in range(0, len(some), step):
+                x = some[k : k + step]
+                apart[x] = np.bitwise_count(words[at[a[x]]] ^ words[at[b[x]]]).sum(axis=1)
+        near = apart <= both * (1 - self.similarity) / (1 + self.similarity) + 1e-6
+        return keep[near], (apart / np.maximum(both, 1))[near]
+
+
+def candidate_links(key: np.ndarray, text: np.ndarray, prints: Prints) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts that share a key (sorted) and may be similar: all of short keys, of others links with the same components."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    pairs = [np.zeros((2, 0), np.int64)]
+    for n in range(2, FEW + 1):
+        at = first[size == n]
+        pairs += [np.stack([text[at + i], text[at + j]]) for i, j in combinations(range(n), 2)]
+    a, b = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+    keep = prints.possible(a, b)[0]
+    out = [np.stack([a[keep], b[keep]])]
+    for s, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        some, label, edges = np.unique(text[s : s + n]), np.arange(n), []
+        label = label[: len(some)]
+        for i in range(len(some) - 1):
+            other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            if not len(other):
+                continue
+            keep, apart = prints.possible(np.full(len(other), some[i]), some[other])
+            for j in other[keep][np.argsort(apart, kind="stable")].tolist():
+                if label[j] != label[i]:
+                    edges.append((some[i], some[j]))
+                    label[label == label[j]] = label[i]
+        if edges:
+            out.append(np.array(edges, np.int64).T)
+    a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+    return a, b
+
+
+def _candidate_links(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, tids, known = [], [], {}
         for b in batches:
-            words = np.stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1)
-            flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-            for k, chosen in enumerate(order):
-                value = flat[:, chosen].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(value + (k << 40)), *b.columns], ["key", *b.schema.names])
+            keys.append(b.column(0).to_numpy(zero_copy_only=False))
+            tids.append(b.column(1).to_numpy(zero_copy_only=False))
+            ids, where = np.unique(tids[-1], return_index=True)
+            for t, i in zip(ids.tolist(), where.tolist()):
+                if t not in known:
+                    known[t] = (b.column(2)[i].as_py(), b.column(3)[i].as_py())
+        if not keys:
+            return
+        key, tid = np.concatenate(keys), np.concatenate(tids)
+        ids, text = np.unique(tid, return_inverse=True)
+        prints = Prints(np.array([known[t][0] for t in ids.tolist()], np.int64), [known[t][1] for t in ids.tolist()], similarity)
+        order = np.lexsort((text, key))
+        a, b = candidate_links(key[order], text[order], prints)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     return run
 
 
-def forest(words: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges of a least spanning forest over the pairs within ``bits``; one row of distances for each code."""
-    n = len(words)
-    apart = np.zeros((n, n), np.uint8)
-    for at in range(0, n, 256):  # a block of rows at a time, as the differing bits take eight times the distances
-        for i in range(WIDE):
-            # 256 differing bits would wrap to 0, but are no chance event
-            apart[at : at + 256] += np.bitwise_count(words[at : at + 256, i, None] ^ words[None, :, i])
-    label, edges = np.arange(n), []
-    near = np.triu(apart <= bits, 1)
-    for d in np.unique(apart[near]).tolist() if near.any() else []:
-        a, b = np.nonzero(near & (apart == d))
-        while True:
-            open_ = label[a] != label[b]
-            a, b = a[open_], b[open_]
-            if not len(a):
-                break
-            edges.append((int(a[0]), int(b[0])))
-            label[label == label[b[0]]] = label[a[0]]
-    return edges
-
+def frequent_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count), by hash, of the shingles that are in most of about ``COUNTED_TEXTS`` texts of ``rows`` (tid, text)."""
 
-def _forests(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not got:
-            return
-        key, tid, *words = [np.concatenate(c) for c in zip(*got)]
-        order = np.lexsort((tid, key))
-        key, tid, words = key[order], tid[order], np.stack(words, axis=1)[order].view(np.uint64)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        a, b = [], []
-        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
-            for i, j in forest(words[s:e], bits) if e - s > 1 else ():
-                a.append(tid[s + i])
-                b.append(tid[s + j])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["shingle"])
+
+    part = min(1.0, COUNTED_TEXTS / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("tid", F.lit("count")), F.lit(1 << 20)) < int(part * (1 << 20))).groupBy("tid").agg(F.first("text").alias("text"))
+    counts = staged(some.mapInArrow(every, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copy-counts")
+    least, kept = None, 0
+    for n, c in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect(), reverse=True):
+        if kept + c > FREQUENT:
+            break
+        least, kept = n, kept + c
+    found = counts.where(F.col("n") >= least).toPandas() if kept else None
+    if found is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    values = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], found["n"].to_numpy(np.int64)[order]
 
 
 def true_links(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -433,40 +487,45 @@ def open_links(candidates: DataFrame, sure: DataFrame, sets: DataFrame, similari
 def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(tid, root) for the texts of ``docs`` that have near copies: tid is the text's xxhash64, root that of its group.
 
-    Texts are linked if the Jaccard similarity of their shingle sets is at least ``similarity``. Candidates agree
-    in a band of their wide fingerprints; of those within ``WIDE_BITS``, each task passes on a least spanning forest,
-    and its links are verified on the shingles. Where a link of a forest does not hold, others that the forest left out may:
+    Texts are linked if the Jaccard similarity of their shingle sets is at least ``similarity``; all such links are found.
+    Candidates share one of their rarest shingles (``prefix``), are of like size and differ in few enough bits of
+    their parity prints, none of which a link can miss; each task passes on links that join them, which are
+    verified on the shingles. Where such a link does not hold, others that were left out may:
     the texts of such a group are verified whole.
     """
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            wide = np.stack([wide_simhash(shingles(t.as_py(), words)) for t in b.column(1)]).view(np.int64) if b.num_rows else np.zeros((0, WIDE), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WIDE)]], ["tid", *[f"w{i}" for i in range(WIDE)]])
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["tid", "shingles"])
 
     text = text_or_empty()
     rows = docs.select(F.xxhash64(text).alias("tid"), text.cast("binary").alias("text"))
-    columns = ", ".join(f"w{i} bigint" for i in range(WIDE))
-    names = [f"w{i}" for i in range(WIDE)]
-    prints_of = rows.mapInArrow(prints, f"tid bigint, {columns}")
-    texts = staged(prints_of.groupBy("tid").agg(*[F.first(w).alias(w) for w in names]), "copy-prints")
-    bits, bands = band_shape(texts.count())
-    keyed = texts.mapInArrow(_band_keys(bits, bands), f"key bigint, tid bigint, {columns}")
-    keyed = staged(keyed, "copy-bands")
-    # a band value of one text finds nothing; the others meet
+    frequent, often = frequent_shingles(rows, words)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, prints, keys = [], [], []
+            for t in b.column(1):
+                hashes = shingles(t.as_py(), words)
+                n.append(len(hashes))
+                prints.append(parity_print(hashes).tobytes())
+                keys.append(prefix(hashes, similarity, frequent, often).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["tid", "n", "print", "keys"])
+
+    of = rows.mapInArrow(prefixes, "tid bigint, n bigint, print binary, keys array<bigint>")
+    texts = staged(of.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n", "print", "keys")]), "copy-prefixes")
+    keyed = texts.select("tid", F.explode("keys").alias("key"))
+    # a shingle of one text finds nothing; the others meet
     shared = keyed.groupBy(F.col("key").alias("k")).count().where("count > 1")
     met = keyed.join(shared, F.col("key") == F.col("k"))
     parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("count") * 2 / HOT_ROWS)).cast("int")
     own = F.pmod(F.xxhash64("tid", F.lit("part")), parts).cast("int")
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, own), F.greatest(p, own)))
-    met = met.select(F.explode(F.when(F.col("count") <= HOT_ROWS, F.array("key")).otherwise(meets)).alias("key"), "tid", *names)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands * texts.count() // TASK_ROWS)
-    edges = staged(met.repartition(tasks, "key").mapInArrow(_forests(WIDE_BITS), "a bigint, b bigint").distinct(), "copy-edges")
-    drop_staged(keyed)
+    met = met.select("tid", F.explode(F.when(F.col("count") <= HOT_ROWS, F.array("key")).otherwise(meets)).alias("key"))
+    met = met.join(texts.select(F.col("tid").alias("t"), "n", "print"), F.col("tid") == F.col("t")).select("key", "tid", "n", "print")
+    n_keys = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // TASK_ROWS)
+    edges = staged(met.repartition(tasks, "key").mapInArrow(_candidate_links(similarity), "a bigint, b bigint").distinct(), "copy-edges")
     met_ids = staged(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copy-ids")
     some = rows.join(met_ids, F.col("tid") == F.col("id"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
     some = staged(some.mapInArrow(sets, "tid bigint, shingles array<bigint>"), "copy-shingles")
