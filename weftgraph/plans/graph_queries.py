@@ -64,7 +64,7 @@ def ppr(spark, d):
     edges = _edges(spark, d)
     homes = read_table(spark, d, "supplier").join(read_table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     reset = homes.select(F.col("n_regionkey").alias("q"), F.concat(F.lit("supplier "), "s_suppkey").alias("node"), F.greatest("s_acctbal", F.lit(0.0)).alias("weight"))
-    return G.personalised_pagerank(edges, reset, rounds=10).select("q", "node", F.round("score", 9).alias("score"))
+    return G.personalised_pagerank(edges, reset, rounds=G.SETTLED).select("q", "node", F.round("score", 9).alias("score"))
 
 
 @query(

@@ -100,7 +100,7 @@ def ppr_retrieve(spark, d):
 
     rows = read_table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     seeds = R.hits(_vectors(spark, d), _probe(spark, d), 5, 0.0).select(F.lit(0).alias("q"), F.concat(F.lit("s"), "id").alias("node"), F.col("score").alias("weight"))
-    rank = graph.personalised_pagerank(rows, seeds, rounds=10).where(F.col("node").startswith("o"))
+    rank = graph.personalised_pagerank(rows, seeds, rounds=graph.SETTLED).where(F.col("node").startswith("o"))
     return rank.select("node", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node").limit(200)
 
 
