@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -440,6 +441,19 @@ def test_copies_of_all_lengths(spark, monkeypatch):
     assert kept_of(spark, texts) == want
 
 
+def test_memory_of_one_key():
+    # a key of 30,000 near copies: a matrix of distances would take 900 MB
+    rng, n = np.random.default_rng(1), 30_000
+    base, own = rng.integers(0, 2**63, 100, dtype=np.uint64), rng.integers(0, 2**63, n, dtype=np.uint64)
+    prints = [simhash.parity_print(np.append(base, x)).tobytes() for x in own]
+    tracemalloc.start()
+    a, b = simhash.candidate_links(np.zeros(n, np.int64), np.arange(n), simhash.Prints(np.full(n, 101), prints, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == n - 1 and set(a.tolist()) | set(b.tolist()) == set(range(n))
+    assert peak < 100e6
+
+
 def test_one_of_each_group(spark, docs, empty):
     rows = make_docs()
     sets = [shingle_set(t) for _, t, *_ in rows]
