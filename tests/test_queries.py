@@ -79,3 +79,16 @@ def test_ppr_retrieve_is_the_dense_solution(spark, sql):
     got = registry.QUERIES["ppr_retrieve"](spark, DATA).collect()
     assert len(got) == min(200, sum(v > 0 for v in want.values()))
     assert all(abs(r["score"] - want[r["node"]]) < 2e-9 for r in got)
+
+
+def test_bfs_view_has_up_to_1000_nodes(spark, sql):
+    near = {}
+    for a, b in sql.sql("SELECT DISTINCT l_suppkey, -1 - l_partkey FROM lineitem").fetchall():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen = {1}
+    for _ in range(3):
+        seen |= {y for x in seen for y in near.get(x, ())}
+    got = registry.QUERIES["bfs_view"](spark, DATA).collect()
+    assert len(seen) > 200 and len(got) == min(1000, len(seen))
+    assert {r["is_truncated"] for r in got} == {len(seen) > 1000}

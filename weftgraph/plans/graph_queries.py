@@ -77,7 +77,7 @@ def hop_distance(spark, d):
 
 @query("bfs_view")
 def bfs_view(spark, d):
-    view, cut = G.bfs_view(_edges(spark, d), "supplier 1", 3, 200)
+    view, cut = G.bfs_view(_edges(spark, d), "supplier 1", 3, 1000)
     return view.withColumn("is_truncated", F.lit(cut))
 
 
