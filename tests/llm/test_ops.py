@@ -317,6 +317,12 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_padded(spark):
+    padded = ["Released under" + " " * 3000 + "the MIT License", "*" * 2000 + " Released under the MIT License " + "*" * 2000]
+    df = spark.createDataFrame(list(enumerate(padded)), "doc_id int, text string")
+    assert [r["identifiers"] for r in licenses.scan(df).collect()] == ["M", "M"]
+
+
 # 8
 
 

@@ -59,14 +59,14 @@ def normalised(sentence: Column) -> Column:
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """doc_id, identifiers (runs of known sentences), found (licences, distinct, in rule order), n_sentences (known).
 
-    A sentence's length must be possible before it is normalised: punctuation and spaces make a
-    sentence longer than its normal form, never shorter.
+    A sentence shorter than all known ones is not normalised: punctuation and spaces make a
+    sentence longer than its normal form, by any amount, never shorter.
     """
-    least, most = min(map(len, sentences.values())), 4 * max(map(len, sentences.values()))
+    least = min(map(len, sentences.values()))
     text = text_or_empty()
     parts = F.filter(F.split(text, SENTENCE_END), lambda s: F.length(s) > 0)
     rows = docs.select("doc_id", parts.alias("parts"))
-    possible = lambda s: (F.length(s) >= least) & (F.length(s) <= most)
+    possible = lambda s: F.length(s) >= least
     rows = rows.select("doc_id", F.transform("parts", lambda s: F.when(possible(s), normalised(s)).otherwise(F.lit(""))).alias("parts"))
     known = F.array(*[F.lit(s) for s in sentences.values()])
     letters = F.array(F.lit(GAP), *[F.lit(i) for i in sentences])
