@@ -17,17 +17,18 @@ table gives no blocks and an empty result; a document is never split, so a very
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, staged, staged_path, table, text_or_empty
+from .gather import gathered, offsets_of, slices
 from .memo import Memo
 
 #: Ids of a block, but for the last document of it.
@@ -37,15 +38,14 @@ END_ID = 2
 MOST_IDS = 1 << 22
 #: Words remembered in lower case and without a mark, for each of two generations; about 150 bytes each.
 CORES = 500_000
-WORDS = 150_000
-#: Texts encoded together.
+#: Texts whose ids are counted together.
 TEXTS = 256
 
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.int64)
 
 
-#: Marks with which letters of ASCII can become one character.
-_JOINING = re.compile("[\u0300-\u036f]")
+#: A special token may begin here, or a mark with which letters of ASCII can become one character.
+_WHOLE = "<\\||[\u0300-\u036f]"
 
 
 #: The byte-level alphabet by its rule: printable bytes stand for themselves, the others for what follows 255, in order.
@@ -59,31 +59,31 @@ def _plain(word: str) -> bool:
 
 
 class Encoder:
-    """The tokenizers library behind a memo of words.
+    """The tokenizers library, asked once for each distinct word of a slice of texts, behind a memo.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its words. A word of Latin
     letters before a full stop or comma is looked up without it, as the vocabulary's own splitter would have it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.kind = Tokenizer.from_file(path), "I" if kind == "<u4" else "H"
         self.size = self.library.get_vocab_size()
-        self.words, self.cores = Memo(WORDS), Memo(CORES)
+        self.cores = Memo(CORES)
         self.marks = dict(zip(("", ".", ","), self._direct(["", ".", ","]), strict=True))
 
     def _direct(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def _cores(self, words: list[str]) -> list[bytes]:
         """Plain lower-case words need no normaliser and splitter: only their bytes' signs and the library's merges."""
-        merge, signs = self.library.model.tokenize, _SIGNS
+        merge, signs, kind = self.library.model.tokenize, _SIGNS, self.kind
         out, other = [], []
         for i, w in enumerate(words):
             if _plain(w):
-                out.append(array("I", [t.id for t in merge(w if w.isascii() else "".join([signs[c] for c in w.encode()]))]).tobytes())
+                out.append(array(kind, [t.id for t in merge(w if w.isascii() else "".join([signs[c] for c in w.encode()]))]).tobytes())
             else:
                 out.append(b"")
                 other.append(i)
@@ -92,40 +92,39 @@ class Encoder:
         return out
 
     def _make(self, words: list[str]) -> list[bytes]:
-        cores, marks = [], []
+        known, cores, marks = self.marks, [], []
         for w in words:
-            mark = w[-1] if w and w[-1] in ".," else ""
-            core = w[: len(w) - len(mark)]
-            plain = _plain(core)
-            cores.append(core.lower() if plain else w)
-            marks.append(mark if plain else "")
-        return [c + self.marks[m] for c, m in zip(self.cores.values(cores, self._cores), marks, strict=True)]
+            mark = b""
+            if not w.isalpha() and w[-1:] in known and _plain(w[:-1]):
+                w, mark = w[:-1], known[w[-1]]
+            cores.append(w if w.isascii() or not _plain(w) else w.lower())
+            marks.append(mark)
+        return [c + m if m else c for c, m in zip(self.cores.values(cores, self._cores), marks, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text, each in the encoder's kind.
 
         A-Z are lower-cased at once. Texts in which that could matter to the normaliser (marks that join with
         letters) or make a special token are left to the library whole.
         """
-        whole = [i for i, t in enumerate(texts) if "<|" in t or not t.isascii() and _JOINING.search(t)]
-        aside = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True)) if whole else {}
-        parts = [[] if i in aside else t.encode().lower().decode().replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        got = self.words.values([w for p in parts for w in p], self._make)
-        out, at = [], 0
-        for i, p in enumerate(parts):
-            out.append(aside[i] if i in aside else b"".join(got[at : at + len(p)]))
-            at += len(p)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = np.flatnonzero(pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)).tolist()
+        aside = dict(zip(whole, self._direct(texts.take(pa.array(whole, pa.int64())).to_pylist()), strict=True)) if whole else {}
+        words = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        out = gathered(words.flatten(), offsets_of(words), self._make).to_pylist()
+        for i, ids in aside.items():
+            out[i] = ids
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kind: str = "<u4") -> Encoder:
+    """One encoder a worker, vocabulary and kind."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def id_kind(path: str) -> str:
@@ -139,16 +138,14 @@ def _slices(column: pa.Array, n: int) -> Iterator[list]:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, kind: str = "<u4") -> DataFrame:
-    """doc_id and ids (binary, of numpy type ``kind``), the end id included."""
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    """doc_id and ids (binary, of numpy type ``kind``, <u4 or <u2), the end id included."""
+    end = b"" if end_id is None else np.array([end_id], dtype=kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, kind)
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in coder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in slices(b, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in coder.encode(part.column(1))], pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
