@@ -11,10 +11,12 @@ length so need a window of little more than the longest piece.
 neighbours are what merging yields of the two alone, and every prefix of a text has one such sequence.)
 
 No piece but a run of word marks has a mark after another character, so every word boundary is a
-boundary in which all paths meet; the ids of frequent words are remembered between two such.
+boundary in which all paths meet. Between two such lies a run; the streaming search goes once over each distinct
+run of a slice of texts, whatever its length, and the texts' ids are gathered from those of their runs.
 
 Defined cases: a null text is an empty one and has no ids; equal rows are encoded alike and stay rows of their own;
-very long texts and words are streamed; an empty table gives an empty result. Characters without a piece become their
+very long texts and words are streamed; an empty table gives an empty result; further columns are kept by
+:func:`encoded`, whatever their names, and do not matter to :func:`digests`. Characters without a piece become their
 UTF-8 bytes' pieces, or the unknown id in models without these.
 """
 
@@ -25,26 +27,27 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
+from .gather import gathered, offsets_of, slices
 from .memo import Memo
 
 MARK = "▁"
 #: Boundaries between two looks for a common one.
 STEP = 64
-#: Longer runs between sure boundaries are streamed and not remembered.
-LONG = 64
+#: Runs between sure boundaries up to this length are remembered; all are streamed.
+KEPT = 64
 #: Neighbouring pieces remembered as fitting or not.
 MOST_PAIRS = 1 << 19
-#: Words without their last mark that are remembered, for each of two generations; about 150 bytes each.
-CORES = 300_000
-WORDS = 150_000
-TEXTS = 256
+#: Runs without their last mark that are remembered, for each of two generations; about 150 bytes each.
+RUNS = 300_000
 
 _RUNS = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -83,15 +86,17 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         #: Neighbouring characters within pieces; between others no piece reaches, so all paths meet there.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        #: Longest piece by its last two characters; no piece that ends so is longer.
-        self.reach: dict = {}
+        #: Finds the pieces of two characters and more in a text.
+        self.found = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1:
-                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
+                self.found.add_word(p, p)
+        self.found.make_automaton()
         self.breaks = not any("\n" in p for p in self.ids)  # a line's end is a boundary then
         self.worst = min(self.score.values(), default=0.0) - 10
         self.pairs: dict = {}
-        self.memo, self.cores = Memo(WORDS), Memo(CORES)
+        self.memo, self.ends = Memo(RUNS), Memo(RUNS)
+        self.shown = pa.array(self.text, pa.large_binary())
 
     # the lattice
 
@@ -134,44 +139,60 @@ class Stream:
         self.m = model
         self.text = ""  # of the window
         self.back = [0]  # for each boundary of the window, where its edge begins
+        self.ending = [""]  # and the piece of that edge; first the final one before the window
         self.sums = [0.0]
-        self.last = ""  # the final piece before the window
         self.peak = 0  # the longest window so far
 
     def push(self, text: str) -> list[int]:
         ids: list[int] = []
         for at in range(0, len(text), STEP):
             self.text += text[at : at + STEP]
-            self._extend()
-            self.peak = max(self.peak, len(self.text))
-            ids += self._commit(self._common())
+            if self.m.unigram:
+                self._extend_by_score()
+            else:
+                self._extend_by_merges()
+            n = len(self.text)
+            if n > self.peak:
+                self.peak = n
+            if n > self.m.longest:  # a shorter window is kept: all its boundaries may survive
+                ids += self._commit(self._common())
         return ids
 
     def close(self) -> list[int]:
         return self._commit(len(self.back) - 1)
 
-    def _piece_at(self, end: int) -> str:
-        return self.text[self.back[end] : end] if end else self.last
-
-    def _extend(self) -> None:
-        m, text, back, sums = self.m, self.text, self.back, self.sums
+    def _extend_by_score(self) -> None:
+        m, text, back, sums, ending = self.m, self.text, self.back, self.sums, self.ending
         ids, longest = m.ids, m.longest
         for end in range(len(back), len(text) + 1):
-            if m.unigram:
-                best, begin = sums[end - 1] + (m.score[text[end - 1]] if text[end - 1] in ids else m.worst), end - 1
-                for start in range(max(0, end - longest), end - 1):
-                    s = m.score.get(text[start:end])
-                    if s is not None and sums[start] + s > best:
-                        best, begin = sums[start] + s, start
-                sums.append(best)
-            else:
-                begin = end - 1
-                for start in range(max(0, end - longest), end - 1):
-                    piece = text[start:end]
-                    if piece in ids and m.fits(text[back[start] : start] if start else self.last, piece):
-                        begin = start
-                        break
+            best, begin = sums[end - 1] + (m.score[text[end - 1]] if text[end - 1] in ids else m.worst), end - 1
+            for start in range(max(0, end - longest), end - 1):
+                s = m.score.get(text[start:end])
+                if s is not None and sums[start] + s > best:
+                    best, begin = sums[start] + s, start
+            sums.append(best)
             back.append(begin)
+            ending.append(text[begin:end])
+
+    def _extend_by_merges(self) -> None:
+        m, text, back, ending = self.m, self.text, self.back, self.ending
+        pairs, done = m.pairs, len(back)  # the first boundary without an edge
+        for at, piece in m.found.iter(text, max(0, done - m.longest)):  # for each end the longest piece first
+            if at < done - 1:
+                continue
+            while done <= at:  # no piece of two characters or more fits there
+                back.append(done - 1)
+                ending.append(text[done - 1])
+                done += 1
+            start = done - len(piece)
+            key = (ending[start], piece)
+            if pairs[key] if key in pairs else m.fits(*key):
+                back.append(start)
+                ending.append(piece)
+                done += 1
+        for end in range(done, len(text) + 1):
+            back.append(end - 1)
+            ending.append(text[end - 1])
 
     def _common(self) -> int:
         """The last boundary on the paths of all survivors."""
@@ -184,91 +205,86 @@ class Stream:
         return open_.pop()
 
     def _commit(self, upto: int) -> list[int]:
+        back, ending, m = self.back, self.ending, self.m
         pieces, end = [], upto
         while end:
-            pieces.append(self.text[self.back[end] : end])
-            end = self.back[end]
+            pieces.append(ending[end])
+            end = back[end]
         if pieces:
-            self.last = pieces[0]
             self.text = self.text[upto:]
-            self.back = [0, *[max(0, b - upto) for b in self.back[upto + 1 :]]]
-            self.sums = [s - self.sums[upto] for s in self.sums[upto:]]
-        return [i for p in reversed(pieces) for i in self.m.out(p)]
+            self.back = [0, *[b - upto if b > upto else 0 for b in back[upto + 1 :]]]
+            self.ending = ending[upto:]
+            if m.unigram:
+                self.sums = [s - self.sums[upto] for s in self.sums[upto:]]
+        ids = m.ids
+        pieces.reverse()
+        return [ids[p] for p in pieces] if all([p in ids for p in pieces]) else [i for p in pieces for i in m.out(p)]
 
 
 def _encode_run(model: PieceModel, run: str) -> bytes:
     s = Stream(model)
-    return np.array(s.push(run) + s.close(), dtype="<u4").tobytes()
-
-
-def _encode_core(model: PieceModel, run: str) -> bytes:
-    """A run that fits in one window: the same search without a look for common boundaries."""
-    if model.unigram or not run:
-        return _encode_run(model, run)
-    ids, pairs, reach = model.ids, model.pairs, model.reach
-    last, back = ["", run[0]], [0, 0]
-    for end in range(2, len(run) + 1):
-        longest = reach.get(run[end - 2 : end], 0)
-        for start in range(end - longest if end > longest else 0, end - 1) if longest else ():
-            piece = run[start:end]
-            if piece in ids:
-                key = (last[start], piece)
-                if pairs[key] if key in pairs else model.fits(*key):
-                    break
-        else:
-            start = end - 1
-            piece = run[start:end]
-        last.append(piece)
-        back.append(start)
-    pieces, end = [], len(run)
-    while end:
-        pieces.append(last[end])
-        end = back[end]
-    ids = model.ids
-    return array("I", [ids[p] for p in reversed(pieces)] if all(p in ids for p in pieces) else [i for p in reversed(pieces) for i in model.out(p)]).tobytes()
-
-
-def _encode_words(model: PieceModel, runs: list[str]) -> list[bytes]:
-    """Short runs; a last character after a sure boundary is parted from its word, which is then looked up alone."""
+    return array("I", s.push(run) + s.close()).tobytes()
+
+
+def _encode_runs(model: PieceModel, runs: list[str]) -> list[bytes]:
+    """Distinct runs; a last character after a sure boundary is parted from its run, which is then looked up alone."""
     cut = [len(r) - (len(r) > 1 and r[-2:] not in model.inside) for r in runs]
-    cores = model.cores.values([r[:c] for r, c in zip(runs, cut, strict=True)], lambda new: [_encode_core(model, r) for r in new])
-    ends = model.cores.values([r[c:] for r, c in zip(runs, cut, strict=True)], lambda new: [_encode_core(model, r) for r in new])
-    return [a + b for a, b in zip(cores, ends, strict=True)]
+    kept = [r[:c] if c <= KEPT else "" for r, c in zip(runs, cut, strict=True)]
+    cores = model.memo.values(kept, lambda new: [_encode_run(model, r) for r in new])
+    ends = model.ends.values([r[c:] for r, c in zip(runs, cut, strict=True)], lambda new: [_encode_run(model, r) for r in new])
+    return [(a if k or not c else _encode_run(model, r[:c])) + b for a, b, k, r, c in zip(cores, ends, kept, runs, cut, strict=True)]
+
+
+def _runs_of(model: PieceModel, text: str) -> list[str]:
+    """The parts of a text between sure boundaries, whatever its characters are."""
+    out = []
+    for k, line in enumerate((text.split("\n") if model.breaks else [text]) if text else []):
+        if k:
+            out.append("\n")
+        out += _RUNS.findall((model.prefix if k == 0 else "") + line.replace(" ", MARK))
+    return out
+
+
+def encode_column(model: PieceModel, texts: pa.Array) -> pa.Array:
+    """Ids of each text as little-endian unsigned 32-bit integers (large binary)."""
+    if model.prefix:
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(" ", texts, ""))
+    # texts without signs of their own that would change where runs begin are cut by Arrow, the others one by one
+    odd = pc.match_substring_regex(texts, f"  |{MARK}|\\x00")
+    cut = pc.replace_substring(texts, " ", "\0" + MARK)
+    if model.breaks:
+        cut = pc.replace_substring(cut, "\n", "\0\n\0")
+    cut = pc.split_pattern(cut, "\0")
+    which = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+    if which:
+        unmarked = [t[len(model.prefix) :] for t in texts.take(pa.array(which, pa.int64())).to_pylist()]
+        lists = cut.to_pylist()
+        for i, t in zip(which, unmarked, strict=True):
+            lists[i] = _runs_of(model, t)
+        cut = pa.array(lists, pa.list_(pa.string()))
+    return gathered(cut.flatten(), offsets_of(cut), lambda runs: _encode_runs(model, runs))
 
 
 def encode(model: PieceModel, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    breaks = model.breaks
-    new_line = np.array(model.out("\n"), dtype="<u4").tobytes()
-    jobs: list[str] = []
-    plans = []  # for each text, [(first job, end of jobs)] by line
-    for t in texts:
-        lines = []
-        for k, line in enumerate((t.split("\n") if breaks else [t]) if t else []):
-            begin = len(jobs)
-            line = (model.prefix if k == 0 else "") + line.replace(" ", MARK)
-            if MARK + MARK in line:
-                jobs += _RUNS.findall(line)
-            else:
-                head, *rest = line.split(MARK)
-                if head:
-                    jobs.append(head)
-                jobs += [MARK + w for w in rest]
-            lines.append((begin, len(jobs)))
-        plans.append(lines)
-    short = [j if len(j) <= LONG else "" for j in jobs]
-    got = model.memo.values(short, lambda new: _encode_words(model, new))
-    got = [g if s or not j else _encode_run(model, j) for g, s, j in zip(got, short, jobs, strict=True)]
-    return [new_line.join([b"".join(got[a:e]) for a, e in lines]) for lines in plans]
+    return encode_column(model, pa.array(texts, pa.string())).to_pylist()
+
+
+def decode_column(model: PieceModel, ids: pa.Array) -> list[str]:
+    """The texts of ids as :func:`encode_column` gives them; bytes that are no UTF-8 become the replacement character."""
+    ends = offsets_of(ids)
+    data = ids.buffers()[2]
+    every = np.frombuffer(data, "<u4")[ends[0] // 4 : ends[-1] // 4] if data is not None else np.zeros(0, np.uint32)
+    shown = model.shown.take(pa.array(every))
+    at = offsets_of(shown)[(ends - ends[0]) // 4].tolist()
+    raw = memoryview(shown.buffers()[2]) if shown.buffers()[2] is not None else b""
+    skip = len(model.prefix)
+    parts = [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
+    return [(p[skip:] if p.startswith(b" ") else p).decode("utf-8", errors="replace") for p in parts]
 
 
 def decode(model: PieceModel, ids: bytes) -> str:
-    """The text of the ids; bytes that are no UTF-8 become the replacement character."""
-    text = model.text
-    raw = b"".join([text[i] for i in np.frombuffer(ids, "<u4").tolist()])
-    if model.prefix and raw.startswith(b" "):
-        raw = raw[1:]
-    return raw.decode("utf-8", errors="replace")
+    return decode_column(model, pa.array([ids], pa.large_binary()))[0]
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -282,17 +298,18 @@ def model_of(path: str) -> PieceModel:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """The columns of ``docs`` but text, and ids (array of ints)."""
+    """The columns of ``docs`` but text, and piece_ids (array of ints); a column of that name must not be there."""
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for b in batches:
             last = b.num_columns - 1
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encode(model, part.column(last).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], "ids_"])
+            for part in slices(b, last):
+                ids = encode_column(model, part.column(last))
+                data = ids.buffers()[2]
+                ids = pa.ListArray.from_arrays(pa.array(offsets_of(ids) // 4, pa.int32()), pa.array(np.frombuffer(data, np.int32) if data is not None else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*b.schema.names[:-1], "ids_"])
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(keep)], text_or_empty().alias("text_"))
     out = rows.mapInArrow(run, rows.drop("text_").withColumn("ids_", F.array().cast("array<int>")).schema)
@@ -305,11 +322,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
+            for part in slices(b, 1):
                 texts = part.column(1).to_pylist()
-                ids = encode(model, texts)
-                back = [decode(model, x) for x in ids]
+                coded = encode_column(model, part.column(1))
+                back, ids = decode_column(model, coded), coded.to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                      pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == y for x, y in zip(texts, back, strict=True)])],
