@@ -17,17 +17,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged, table, text_or_empty
+from .common import drop_staged, small, staged, table, text_or_empty
 
 SHARDS = 24
-#: Rounds of propagation at most; it ends earlier when nothing moves.
-ROUNDS = 6
+#: Rounds of propagation at most; it ends when nothing wishes to move, or nothing could in two rounds.
+ROUNDS = 40
+#: Groups of linked rows that are broadcast to their rows at most (some 60 bytes each); more are joined by shuffle, hot ones split.
+SENT_GROUPS = 200_000
 #: A group of more than this part of a shard's quota is laid out by itself.
 LARGE = 0.5
 #: Hash buckets in which arrivals are summed: shards x BUCKETS sums reach the driver, whatever the input.
 BUCKETS = 256
 #: Rows of one sorted run when rows are numbered.
 RUN_ROWS = 20_000
+#: Runs that laid-out rows, and likewise other ones, of a shard have at least, and rows of a group that always stay in one.
+LEAST_RUNS, RUN_GROUP = 32, 16
+#: Runs whose beginnings (some 24 bytes each) are broadcast at most; more are joined by shuffle.
+SENT_RUNS = 1_000_000
 
 
 def _pick(options: list, of: Column) -> Column:
@@ -35,11 +41,11 @@ def _pick(options: list, of: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(x)) for x in options]), (of + 1).cast("int"))
 
 
-def ranked(df: DataFrame, by: list[str], order: list, runs: int, name: str) -> DataFrame:
-    """``df`` (staged) with its rows numbered from 0 within ``by``, in hash order of runs, then ``order``.
+def ranked(df: DataFrame, by: list[str], order: list, runs: int, name: str, keys: int) -> DataFrame:
+    """``df`` (staged) with its rows numbered from 0 within ``by`` (of ``keys`` values at most), in hash order of runs, then ``order``.
 
     No task sorts all of a shard: rows are numbered within (by, run), and the runs' counts, of which
-    there are shards x runs at most, give where each run begins.
+    there are keys x runs at most, give where each run begins.
     """
     df = df.withColumn("run_", F.pmod("hash", F.lit(runs)))
     counts = df.groupBy(*by, "run_").agg(F.count(F.lit(1)).alias("n_"))
@@ -50,7 +56,7 @@ def ranked(df: DataFrame, by: list[str], order: list, runs: int, name: str) -> D
     on = F.col("run_") == F.col("run_k")
     for c in by:
         on = on & (F.col(c) == F.col(f"{c}_k"))
-    return df.join(F.broadcast(starts), on).withColumn(name, F.col("start_") + F.col("at_")).drop("run_", "run_k", "at_", "start_", *[f"{c}_k" for c in by])
+    return df.join(F.broadcast(starts) if keys * runs <= SENT_RUNS else starts, on).withColumn(name, F.col("start_") + F.col("at_")).drop("run_", "run_k", "at_", "start_", *[f"{c}_k" for c in by])
 
 
 def lay_out(large: list, room: list[int]) -> dict:
@@ -85,7 +91,7 @@ def propagate(rows: DataFrame, quota: list[int], rounds: int = ROUNDS, runs: int
     state = rows.where(~fixed).withColumn("shard", start).withColumn("fixed", F.lit(False))
     if plan:
         # rows of a large group are numbered, so that each of its shards gets exactly what was laid out
-        many = ranked(rows.where(fixed), ["group"], ["hash"], runs, "at")
+        many = ranked(rows.where(fixed), ["group"], ["hash"], runs, "at", len(plan))
         to = F.lit(0)
         for group, parts in plan.items():
             inside = F.lit(parts[-1][1])
@@ -93,17 +99,20 @@ def propagate(rows: DataFrame, quota: list[int], rounds: int = ROUNDS, runs: int
                 inside = F.when(F.col("at") < end, F.lit(shard)).otherwise(inside)
             to = F.when(F.col("group") == group, inside).otherwise(to)
         state = state.unionByName(many.withColumn("shard", to.cast("int")).withColumn("fixed", F.lit(True)).drop("at"))
-    state = staged(state, "shard-round")
+    state, idle = staged(state, "shard-round"), 0
     for r in range(rounds):
         loads = {x["shard"]: x["n"] for x in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         tally = state.where(~F.col("fixed")).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("here"))
         mix = F.xxhash64("group", "shard")
-        best = tally.groupBy(F.col("group").alias("g")).agg(F.max_by("shard", F.struct("here", mix)).alias("to"))
-        wish = state.join(best, F.col("group") == F.col("g"), "left").drop("g")
+        # staged, so that both sides of the join are shuffles of their own, which can be split at a hot group
+        best = staged(tally.groupBy(F.col("group").alias("g")).agg(F.max_by("shard", F.struct("here", mix)).alias("to")), "shard-best")
+        wish = state.join(small(best, SENT_GROUPS), F.col("group") == F.col("g"), "left").drop("g")
         wish = wish.withColumn("to", F.when(F.col("to") != F.col("shard"), F.col("to"))).withColumn("bucket", F.pmod(F.xxhash64("group", F.lit(r)), F.lit(BUCKETS)).cast("int"))
         wish = staged(wish, "shard-wish")
         flows = wish.where("to IS NOT NULL").groupBy("shard", "to", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # shards x shards x BUCKETS sums at most
+        drop_staged(best)
         if not flows:
+            drop_staged(wish)
             break
         arrive = [[0] * BUCKETS for _ in quota]
         leave = [0] * shards
@@ -117,6 +126,13 @@ def propagate(rows: DataFrame, quota: list[int], rounds: int = ROUNDS, runs: int
                 space -= arrive[s][end]
                 end += 1
             ends.append(end)
+        moved = sum(sum(a[:e]) for a, e in zip(arrive, ends, strict=True))
+        idle = 0 if moved else idle + 1
+        if idle:  # nothing fits; other buckets come first in the next round
+            drop_staged(wish)
+            if idle > 1:
+                break
+            continue
         goes = F.col("to").isNotNull() & (F.col("bucket") < _pick(ends, F.coalesce("to", F.lit(0))))
         previous, state = state, staged(wish.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).drop("to", "bucket"), "shard-round")
         drop_staged(previous)
@@ -132,17 +148,22 @@ def shard_rows(base: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     keep = list(base.columns)
     base = staged(base.withColumn("hash", F.xxhash64(*[c for c in keep])), "shard-base")
     sizes = base.where("group IS NOT NULL").groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = staged(base.join(sizes, F.col("group") == F.col("g"), "left").drop("g"), "shard-marked")
+    sizes = staged(sizes, "shard-sizes")
+    marked = staged(base.join(small(sizes, SENT_GROUPS), F.col("group") == F.col("g"), "left").drop("g"), "shard-marked")
+    drop_staged(sizes)
     total = marked.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    runs = 2 * max(8, min(2048, total // (2 * shards * RUN_ROWS)))
+    part = max(LEAST_RUNS, total // (2 * shards * RUN_ROWS))
+    runs = 3 * part
     linked = propagate(marked.where("n IS NOT NULL"), quota, rounds, runs)
-    # laid-out rows come first in a shard's order, then whole groups, so that what exceeds its quota is few groups' rows
+    # laid-out rows come first in a shard's order, then groups too large for one run, dealt over several, then whole
+    # small groups, so that what exceeds its quota is few groups' rows
     order = ["group", *[c for c in keep if c != "group"]]
-    half = runs // 2
-    place = F.when(F.col("fixed"), F.pmod("hash", F.lit(half))).otherwise(half + F.pmod(F.xxhash64("group"), F.lit(half)))
+    many = F.col("n") > max(RUN_GROUP, min(quota) // (4 * part))
+    place = F.when(F.col("fixed") | many, F.pmod("hash", F.lit(part)) + F.when(F.col("fixed"), 0).otherwise(part))
+    place = place.otherwise(2 * part + F.pmod(F.xxhash64("group"), F.lit(part)))
     linked = linked.withColumn("own_", F.col("hash")).withColumn("hash", place)
-    linked = staged(ranked(linked, ["shard"], order, runs, "at").withColumn("hash", F.col("own_")).drop("own_", "fixed"), "shard-linked")
+    linked = staged(ranked(linked, ["shard"], order, runs, "at", shards).withColumn("hash", F.col("own_")).drop("own_", "fixed"), "shard-linked")
     stay = F.col("at") < _pick(quota, F.col("shard"))
     counts = {x["shard"]: x["n"] for x in linked.where(stay).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = [counts.get(s, 0) for s in range(shards)]
@@ -151,7 +172,7 @@ def shard_rows(base: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         end += quota[s] - held[s]
         ends.append(end)
     fill = marked.where("n IS NULL").unionByName(linked.where(~stay).drop("shard", "at")).withColumn("all_", F.lit(0))
-    fill = ranked(fill, ["all_"], ["hash", *keep], runs * shards, "at").drop("all_")
+    fill = ranked(fill, ["all_"], ["hash", *keep], runs * shards, "at", 1).drop("all_")
     to = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("at")))
     fill = fill.withColumn("shard", F.least(to, F.lit(shards - 1)).cast("int"))
     starts = [0, *ends[:-1]]
