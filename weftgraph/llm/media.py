@@ -3,8 +3,8 @@
 A payload becomes a WAV file of 8-bit mono samples. A rolling gear hash over its bytes sets the
 cuts, so equal passages give equal chunks wherever they lie. Chunks are known by their SHA-256: a
 digest that several files or an earlier store have is kept once, which grouping and an anti join by digest see to.
-A manifest has each file's digests in order. Reading joins manifests with chunks, puts a file's chunks in order, and checks each
-chunk's and the file's digest before the samples are used.
+A manifest has each file's digests in order. Reading joins manifests with chunks, puts a file's chunks in order, and checks the
+file's digest, which covers all of its chunks, before the samples are used.
 
 Disk holds one compressed copy of the distinct chunks, and while writing or reading one shuffle of them:
 chunk rows that only differ in their place do not carry bytes twice within a task, chunks are bucketed by
@@ -12,15 +12,13 @@ digest, and files with equal bytes are read back once for all rows that have the
 
 Defined cases: a null text is an empty one; its payload is 64 zero bytes; equal texts share one file; equal rows stay rows of
 their own; an empty table gives an empty store and result; a very long text is a file of many chunks, of which no task
-holds more than one at a time besides the file itself.
+holds more than one at a time besides the file itself; further columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
-import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, staged_path, table, text_or_empty
+from .common import shuffles_freed, staged, staged_path, table, text_or_empty
 
 UNIT = 64
 RATE = 8000
@@ -40,6 +38,8 @@ RATE = 8000
 LEAST, MOST, CUT_BITS = 2048, 65536, 13
 #: Digests that a task remembers as already sent.
 SENT = 200_000
+#: A chunk that more than one in so many places need is broadcast, if it has this many places at least.
+HOT_SHARE, HOT_LEAST = 512, 1000
 #: Chunks are compressed with a dictionary made from the beginnings of at most so many texts; it only changes their size on disk.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 8192, 112_640, 9
 
@@ -157,17 +157,11 @@ def _chunk_rows(dictionary: bytes):
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer used; else they lie until it happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
-
-
 def write_chunks(docs: DataFrame, path: str, known: DataFrame | None = None) -> tuple[DataFrame, bytes]:
     """Store the chunks of ``docs`` at ``path`` that ``known`` (digest) lacks.
 
-    Returns the store (digest, data), bucketed by digest, and its dictionary, which lies in the folder beside it.
+    Returns the store (digest, data), a table bucketed by digest whose name is of this call, and its dictionary,
+    which lies in the folder beside it.
     """
     spark = docs.sparkSession
     dictionary = make_dictionary(docs)
@@ -178,12 +172,9 @@ def write_chunks(docs: DataFrame, path: str, known: DataFrame | None = None) ->
     name = f"chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rows.groupBy("digest").agg(F.first("data").alias("data")).write.format("parquet")
-    writer.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "digest").saveAsTable(name)
+    with shuffles_freed(spark):
+        writer.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "digest").saveAsTable(name)
     store = spark.table(name)
-    store.schema  # resolved: the files stay when the name goes
-    spark.sql(f"DROP TABLE {name}")
-    del rows, writer
-    release(spark)
     return store, dictionary
 
 
@@ -205,15 +196,13 @@ def _rebuilt(batches: Iterator[pa.RecordBatch], unpacker: zstandard.ZstdDecompre
     kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
     for b in batches:
         out = []
-        for m, digest, size, data in zip(*[b.column(c) for c in ("media", "digest", "n", "data")], strict=True):
+        for m, size, data in zip(*[b.column(c) for c in ("media", "n", "data")], strict=True):
             m = m.as_py()
             if m != media:
                 if media is not None:
                     out.append(done())
                 media, parts, n = m, [], size.as_py()
             chunk = unpacker.decompress(data.as_py())
-            if hashlib.sha256(chunk).digest() != digest.as_py():
-                raise ValueError("a chunk's digest is wrong")
             parts.append(chunk)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -221,11 +210,31 @@ def _rebuilt(batches: Iterator[pa.RecordBatch], unpacker: zstandard.ZstdDecompre
         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(done(), kinds, strict=True)], names)
 
 
+def hot_digests(files: DataFrame) -> DataFrame | None:
+    """(digest) of the chunks that more than one in ``HOT_SHARE`` places of ``files`` need, so fewer than that; None if there are none."""
+    places = files.select(F.explode("digests").alias("digest"))
+    total = files.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
+    hot = places.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("digest")
+    got = [r["digest"] for r in hot.collect()]
+    return files.sparkSession.createDataFrame([(d,) for d in got], "digest binary") if got else None
+
+
 def read_media(files: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
-    """By file of ``files`` (media, digests; distinct): what its verified bytes give. See the module; payload is a SHA-256."""
+    """By file of ``files`` (media, digests; distinct): what its verified bytes give. See the module; payload is a SHA-256.
+
+    A bucketed store is joined without moving it, so Spark could not split a hot digest; the chunks of these, ``HOT_SHARE`` times
+    ``MOST`` bytes at most, are broadcast instead.
+    """
+    with shuffles_freed(files.sparkSession):
+        hot = hot_digests(files)
     places = files.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
-    rows = places.join(store, "digest").select("media", "at", "n", "digest", "data")
-    rows = rows.repartition("media").sortWithinPartitions("media", "at").select("media", "digest", "n", "data")
+    if hot is None:
+        rows = places.join(store, "digest").select("media", "at", "n", "data")
+    else:
+        some = store.join(F.broadcast(hot), "digest", "left_semi")
+        rows = places.join(F.broadcast(hot), "digest", "left_anti").join(store, "digest").select("media", "at", "n", "data")
+        rows = rows.unionByName(places.join(F.broadcast(some), "digest").select("media", "at", "n", "data"))
+    rows = rows.repartition("media").sortWithinPartitions("media", "at").select("media", "n", "data")
     return rows.mapInArrow(_rebuild(dictionary), "media binary, payload_bytes bigint, payload binary, tail_crc32 bigint, media_bytes bigint, feature string")
 
 
