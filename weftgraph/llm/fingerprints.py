@@ -2,16 +2,17 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so the sketch of two texts together
 is the union of their sketches, and how much of one text lies in another can be estimated however
-unequal they are. A text with few hashes below the threshold keeps its ``FLOOR`` smallest hashes
-instead, up to its own higher limit; two sketches are compared below the lower of their limits.
-So texts of up to ``FLOOR`` shingles are compared exactly.
+unequal they are. A text with very few hashes below the threshold, which would be judged by them at random, keeps its
+``FLOOR`` smallest hashes instead, up to its own higher limit; two sketches are compared below the lower of their limits.
+So texts of up to ``FLOOR`` shingles are compared exactly, and the threshold alone decides for those of ``SCALE * FLOOR`` or more on average.
 
 Words are runs of characters that are not white space, A-Z lower-cased; a shingle is five words in a row (of a shorter
 text, all its words). Hashes are taken as a set.
 
 Defined cases: a null text is an empty one; a text without words has the empty sketch, is like
 another such text (1) and unlike all others (0); equal rows are ordered by text and are rows of
-their own; a null doc_id comes last; an empty table gives an empty result.
+their own; a null doc_id comes last; an empty table gives an empty result; very long texts are sketched whole; further
+columns do not matter, whatever their names. Ids are integers.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from .common import ascii_lower, table, text_or_empty, words_of
 
 WORDS = 5
 #: One shingle hash in so many is kept.
-SCALE = 16
+SCALE = 4
 #: Hashes that a sketch has at least, if its text has as many.
-FLOOR = 64
+FLOOR = 32
 #: Hashes are not negative and below this.
 TOP = (1 << 63) - 1
 #: Groups of neighbours in id order, for each shuffle partition.
