@@ -6,10 +6,12 @@ until no key is wrong. A key of the universe is then listed if the first level t
 one (failing level 1 means not listed). Judging a url is a few bit tests of literals, without a join.
 
 A level's bits are a literal of the plan. Their number follows the listed keys (level 1) and the
-false positives (a small part of the universe), and is checked against ``MOST_BITS``; a longer list raises.
+false positives (a small part of the universe), and is checked against ``MOST_BITS``; a list of more than about 8 million
+keys raises, as its bits would be too much to send to every task.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the method's
-verdict, allow; equal rows give equal rows; an empty table gives an empty result.
+verdict, allow; equal rows give equal rows; an empty table gives an empty result; very long urls are judged whole; columns
+host, path, rule and verdict of the input are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .common import ascii_lower, drop_staged, staged, table
 
 #: (verdict, host, path prefix); a rule holds for its host and all subdomains.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Hosts blocked with their subdomains where no rule fits.
-LISTED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "cheap-pills.example.com", "cheap-pills.example.net")
+#: Hosts blocked with their subdomains where no rule fits: two of these words, in either order, below each parent.
+LISTED_WORDS = ("spam", "farm", "cheap", "pills", "free", "bets", "casino", "win", "poker", "slots", "loans", "cash", "credit", "click", "clicks", "deals", "discount", "lottery", "prize", "bonus", "crypto", "coins", "adult", "dating", "replica", "watches", "essay", "diet", "traffic", "links", "seo", "bet")
+LISTED_PARENTS = ("example.com", "example.net", "example.org")
+LISTED_HOSTS = tuple(f"{a}-{b}.{parent}" for a in LISTED_WORDS for b in LISTED_WORDS if a != b for parent in LISTED_PARENTS)
 #: Bits per key and hashes of a level; about one key in 50 passes wrongly.
 BITS_PER_KEY, HASHES = 8, 6
 #: 8 MB of bits at most in one level.
@@ -117,42 +121,46 @@ def judge(pages: DataFrame, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     by_rule = {h + p: (v, h + p) for v, h, p in rules}
-    by_list = [h + "/" for h in listed_hosts if h + "/" not in by_rule]
+    by_list = [h + "/" for h in dict.fromkeys(listed_hosts) if h + "/" not in by_rule]
     lengths = sorted({len(p) for _, _, p in rules} | {1})
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), host.alias("host"), path.alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     # a host without a path is as listed as its root
-    rows = pages.withColumn("host", host).withColumn("path", path)
     keys = F.when(F.col("path") == "", candidate_keys(F.col("host"), F.lit("/"), [1])).otherwise(keys) if by_list else keys
-    hits = F.col("keys_")
     universe = rows.select(F.explode(keys).alias("key"))
-    listed = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in [*by_rule, *by_list]])).alias("key"))
+    listed = spark.createDataFrame([(k,) for k in [*by_rule, *by_list]], "key string")
     levels = build_cascade(universe, listed)
-    rows = rows.withColumn("keys_", F.filter(keys, lambda k: listed_by(k, levels)))
+    rows = rows.withColumn("hits", F.filter(keys, lambda k: listed_by(k, levels)))
     names = F.create_map(*[x for k, (v, _) in by_rule.items() for x in (F.lit(k), F.lit(v))])
+    ruled = F.array(*[F.lit(k) for k in by_rule])
     # a rule whose path is / needs a path; the root that stands for an empty path only serves the list
-    fits = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.filter(hits, lambda k: F.array_contains(F.array(*[F.lit(k) for k in by_rule]), k)))
+    fits = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.filter("hits", lambda k: F.array_contains(ruled, k)))
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
     rows = rows.withColumn("rule", longest)
     # a rule's key that only the root of an empty path met is no listed host
-    method = F.when(F.exists(hits, lambda k: ~F.array_contains(F.array(*[F.lit(x) for x in by_rule]), k)), "block").otherwise("allow")
-    return rows.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.element_at(names, F.col("rule"))).otherwise(method)).drop("keys_")
+    method = F.when(F.exists("hits", lambda k: ~F.array_contains(ruled, k)), "block").otherwise("allow")
+    verdict = F.when(F.col("rule").isNotNull(), F.element_at(names, F.col("rule"))).otherwise(method)
+    return rows.select(*[F.col("kept")[c].alias(c) for c in kept], "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-_HOSTS = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
+_WORDS, _PARENTS = ", ".join(f"'{w}'" for w in LISTED_WORDS), ", ".join(f"'{p}'" for p in LISTED_PARENTS)
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 OP6_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 rules AS (SELECT * FROM (VALUES {_RULES}) AS r(verdict, h, p)),
-listed AS (SELECT unnest([{_HOSTS}]) AS l),
+words AS (SELECT unnest([{_WORDS}]) AS w), parents AS (SELECT unnest([{_PARENTS}]) AS p),
+listed AS (SELECT a.w || '-' || b.w || '.' || p AS l FROM words a, words b, parents WHERE a.w <> b.w),
+blocked AS (SELECT DISTINCT host FROM parts JOIN listed ON host = l OR ends_with(host, '.' || l)),
 fits AS (SELECT page_id, host, path, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.verdict, length(r.h || r.p)) AS ruled
          FROM parts JOIN rules r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY page_id, host, path)
 SELECT p.page_id, p.host, p.path, f.rule,
-       coalesce(f.ruled, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE p.host = l OR ends_with(p.host, '.' || l)) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.ruled, CASE WHEN p.host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN fits f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path
 """
