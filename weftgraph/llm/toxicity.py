@@ -5,19 +5,23 @@ among them included. With class prior p, the risk is p R+(toxic) + max(0, R-(unl
 second part estimates the risk on clean texts, and where it would turn negative (which is overfitting) its gradient is
 followed upwards instead. The prior is the share of toxic rows among the labelled training rows.
 
-Features are the presence of words and of word beginnings. A first pass over the sample counts in how many toxic and
+Features are the presence of words, and of one, two, three or five different words of a beginning. A first pass over the sample counts in how many toxic and
 unlabelled texts each of them occurs; the ``FEATURES`` that tell most are kept, and a linear
 model over them is trained in numpy on the driver.
 
 The fit uses at most ``MOST_TOXIC`` toxic and ``MOST_UNLABELLED`` unlabelled labelled rows, chosen by hash; scoring
 reads every whole text. Defined cases: a null text is an empty one and has the score of no words; a
 null doc_id is never held out and never labelled; repeated labels of an id count as toxic if any is; without
-toxic or without unlabelled training rows every score is the prior (0.5 if unknown); an empty table gives an empty result.
+toxic or without unlabelled training rows every score is the prior (0.5 if unknown); an empty table gives an empty result; equal
+texts have equal scores, repeated rows stay rows of their own, and further columns are kept, whatever their names.
+
+Unlabelled texts are drawn from the labelled rows, their labels hidden: the prior is known of these only.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +32,12 @@ from pyspark.sql import functions as F
 from .common import staged, table, text_or_empty
 
 MOST_TOXIC, MOST_UNLABELLED = 4_000, 12_000
-FEATURES = 256
-#: Lengths in bytes of the word beginnings that are features; such a feature's name ends in a star.
-HEADS = (4, 5, 6)
+FEATURES = 512
+#: Lengths in bytes of the word beginnings that are features, and how many different words of a text must begin so. A feature's
+#: name is the beginning, a star, and that number if it is not 1.
+HEADS, TIMES = (4, 5, 6, 7, 8), (1, 2, 3, 5)
+#: Texts whose features are held at once.
+TEXTS = 256
 #: A feature must be in so many toxic texts of the sample.
 LEAST_TEXTS = 5
 STEPS, RATE, DECAY = 600, 0.3, 1e-5
@@ -44,10 +51,18 @@ def words(text: bytes) -> set[bytes]:
     return set(text.lower().translate(_PARTS).split())
 
 
+def _name(head: bytes, times: int) -> bytes:
+    return head + (b"*" if times == 1 else b"*%d" % times)
+
+
 def features(text: bytes) -> set[bytes]:
     """Names of the words and word beginnings of a text."""
     whole = words(text)
-    return whole.union(*[{w[:n] + b"*" for w in whole if len(w) > n} for n in HEADS])
+    out = set(whole)
+    for n in HEADS:
+        for head, k in Counter([w[:n] for w in whole if len(w) > n]).items():
+            out.update([_name(head, t) for t in TIMES if k >= t])
+    return out
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -98,8 +113,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | Non
 
 def _words_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [list(features(t)) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary())), b.column(1)], ["words", "toxic"])
+        for at in range(0, b.num_rows, TEXTS):
+            part = b.slice(at, TEXTS)
+            found = [list(features(t)) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary())), part.column(1)], ["words", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
@@ -137,21 +154,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
     return {word: float(w[i]) for word, i in at.items()}, b
 
 
-def lookup(weights: dict[bytes, float]) -> dict[int, dict[bytes, float]]:
-    """The weights by length of beginning, whole words at 0."""
+def lookup(weights: dict[bytes, float]) -> dict[int, dict]:
+    """Weights of whole words at 0; by length of beginning, [(different words needed, weight)] of each."""
     out: dict = {n: {} for n in (0, *HEADS)}
-    for name, w in weights.items():
-        out[len(name) - 1 if name.endswith(b"*") else 0][name.rstrip(b"*")] = w
+    for name, w in sorted(weights.items()):
+        head, star, times = name.partition(b"*")
+        if star:
+            out[len(head)].setdefault(head, []).append((int(times or 1), w))
+        else:
+            out[0][name] = w
     return out
 
 
-def score(text: bytes, known: dict[int, dict[bytes, float]], bias: float) -> float:
+def score(text: bytes, known: dict[int, dict], bias: float) -> float:
     """The probability of being toxic; ``known`` is of :func:`lookup`."""
     whole = words(text)
     hits = [known[0][w] for w in whole.intersection(known[0])]
     for n in HEADS:
-        if known[n]:
-            hits += [known[n][w] for w in {w[:n] for w in whole if len(w) > n}.intersection(known[n])]
+        if table_n := known[n]:
+            for head, k in Counter([h for w in whole if len(w) > n and (h := w[:n]) in table_n]).items():
+                hits += [x for times, x in table_n[head] if k >= times]
     # sorted, so that equal texts have equal sums
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(sorted(hits))))))
 
