@@ -14,7 +14,7 @@ very many fingerprints is split: each pair of its parts meets in one task, and e
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and are linked
 like any other; equal rows share a component; the id of a component ignores null ids unless it has no other; an empty table
-gives an empty result.
+gives an empty result; very long texts are read whole; further columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,9 +38,8 @@ FAN = 8
 BLOCK = 2048
 #: Keys are chosen so long that one has about so many fingerprints at most, if they are spread evenly.
 KEY_ROWS = 512
-#: A key with more fingerprints is split into parts of about half as many.
+#: A key with more fingerprints is split into parts of about half as many, however many parts that makes.
 HOT_ROWS = 4096
-MOST_PARTS = 64
 #: Rows of a task when keys are dealt out.
 TASK_ROWS = 1_000_000
 
@@ -220,7 +219,7 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     if hot.count():
         # a part meets each part, itself included, in one task
         rows = rows.join(hot, F.col("key") == F.col("hot_key"), "left")
-        parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("count") * 2 / HOT_ROWS)).cast("int")
+        parts = F.ceil(F.col("count") * 2 / HOT_ROWS).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit("part")), parts).cast("int")
         meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, own), F.greatest(p, own)))
         rows = rows.select("fp", F.explode(F.when(F.col("count").isNull(), F.array("key")).otherwise(meets)).alias("key"))
@@ -484,8 +483,21 @@ def open_links(candidates: DataFrame, sure: DataFrame, sets: DataFrame, similari
     return rows.repartition(tasks, "key").mapInArrow(_true_links(similarity), "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(tid, root) for the texts of ``docs`` that have near copies: tid is the text's xxhash64, root that of its group.
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def text_id(docs: DataFrame) -> Column:
+    """An id of the text of a row of ``docs``, equal for equal texts only: its hash, and where two texts share one, a hash of another hash too."""
+    text = text_or_empty()
+    one, two = text_hash(text), F.xxhash64(F.lit("other"), text)
+    pairs = docs.select(one.alias("one"), two.alias("two")).groupBy("one").agg(F.min("two").alias("least"), F.max("two").alias("most"))
+    shared = [r["one"] for r in pairs.where("least <> most").select("one").collect()]  # a few in 10^10 texts
+    return F.when(one.isin(shared), F.xxhash64(one, two)).otherwise(one) if shared else one
+
+
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY, tid: Column | None = None) -> DataFrame:
+    """(tid, root) for the texts of ``docs`` that have near copies: tid is the text's id (``text_id``), root that of its group.
 
     Texts are linked if the Jaccard similarity of their shingle sets is at least ``similarity``; all such links are found.
     Candidates share one of their rarest shingles (``prefix``), are of like size and differ in few enough bits of
@@ -499,7 +511,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["tid", "shingles"])
 
     text = text_or_empty()
-    rows = docs.select(F.xxhash64(text).alias("tid"), text.cast("binary").alias("text"))
+    rows = docs.select((text_id(docs) if tid is None else tid).alias("tid"), text.cast("binary").alias("text"))
     frequent, often = frequent_shingles(rows, words)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,7 +530,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
     # a shingle of one text finds nothing; the others meet
     shared = keyed.groupBy(F.col("key").alias("k")).count().where("count > 1")
     met = keyed.join(shared, F.col("key") == F.col("k"))
-    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("count") * 2 / HOT_ROWS)).cast("int")
+    parts = F.ceil(F.col("count") * 2 / HOT_ROWS).cast("int")
     own = F.pmod(F.xxhash64("tid", F.lit("part")), parts).cast("int")
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, own), F.greatest(p, own)))
     met = met.select("tid", F.explode(F.when(F.col("count") <= HOT_ROWS, F.array("key")).otherwise(meets)).alias("key"))
@@ -541,9 +553,13 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
 
 
 def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of equal or near texts: that of the least doc_id (null last), and text hash."""
-    roots = near_copies(docs, words, similarity).select(F.col("tid").alias("t"), "root")
-    tid = F.xxhash64(text_or_empty())
+    """``docs`` with one row of each group of equal or near texts: that of the least doc_id (null last), and text id.
+
+    Null and empty texts are equal ones; repeated rows are one group; columns keep their names and values, whatever these are; an empty
+    table gives an empty result.
+    """
+    tid = text_id(docs)
+    roots = near_copies(docs, words, similarity, tid).select(F.col("tid").alias("t"), "root")
     ids = docs.select("doc_id", tid.alias("tid")).groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n"))
     ids = staged(ids.join(roots, F.col("tid") == F.col("t"), "left").select("doc_id", "tid", "n", F.coalesce("root", "tid").alias("root")), "copy-rows")
     kept = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tid")).alias("x")).select(F.col("x.doc_id").alias("id_"), F.col("x.tid").alias("tid_"), F.lit(True).alias("keep_"))
