@@ -77,6 +77,19 @@ def test_pieces_equal_library(model):
     assert all(pieces.decode(model, np.array(i, dtype="<u4").tobytes()) == library.decode(i) for i in got)
 
 
+def test_random_pieces_equal_library(model):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(61)
+    parts = [*"abcXYZ019 .,;'!?-_#*\n\t\r<|>/", "é", "ß", "Ω", "▁", "\u0301", "\u00a0", "中", "ا", "😀", "the", "ing", "Ção", "'s", "   ", " the ", ". ", "\n\n", "\x01"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 24))) for _ in range(20_000)] + ["a\0b \0 c", "x" * 3000 + " y", "ab" * 500]
+    got = pieces.encode(model, texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[:-3]] == library.encode(texts[:-3])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[-2:]] == library.encode(texts[-2:])
+    marked = [t.replace("▁", " ") for t in texts]
+    assert [pieces.decode(model, x) for x in got] == marked
+    assert pieces.encode(model, []) == []
+
+
 def test_stream_keeps_a_short_window(model):
     text = "▁" + "abcthe" * 3000
     for part in (1, 7, 1000, len(text)):
@@ -191,6 +204,19 @@ def test_media_round_trip(spark, docs, empty):
     assert none.count() == 0 and media.read_media(media.manifests(empty).select("media", "digests"), none, nothing).count() == 0
 
 
+def test_hot_chunks_are_sent(spark, docs, monkeypatch):
+    from weftgraph.llm.common import staged, staged_path
+
+    monkeypatch.setattr(media, "HOT_LEAST", 1)
+    body = "".join(random.Random(2).choices("abcdefgh ", k=60_000))
+    some = spark.createDataFrame([(i, body + f" {i}") for i in range(30)], "doc_id bigint, text string")
+    files = staged(media.manifests(some), "m").select("media", "digests")
+    assert media.hot_digests(files).count() >= 1
+    store, dictionary = media.write_chunks(some, staged_path(spark, "c"))
+    got = media.read_media(files, store, dictionary).collect()
+    assert {bytes(r["payload"]) for r in got} == {hashlib.sha256(media.payload_of(f"{body} {i}".encode())).digest() for i in range(30)}
+
+
 # 4
 
 
@@ -228,6 +254,18 @@ def test_word_memo_equals_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_random_strings_equal_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(60)
+    parts = [*"abcXYZ019 .,;'\"!?-_#*\n\t\r<|>/", "é", "ß", "Ω", "ſ", "ı", "İ", "ǅ", "ﬁ", "\u0301", "\u00a0", "\u2003", "中", "ا", "😀", "the", "ing", "Ção", "'s", "'LL", "<|", "|>", "  ", " the ", ". "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 24))) for _ in range(60_000)]
+    coder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
+    small = tokens.Encoder(path, "<u2")
+    assert [np.frombuffer(x, "<u2").tolist() for x in small.encode(texts[:2000])] == want[:2000] and small.encode([]) == []
+
+
 # 5
 
 
@@ -301,26 +339,81 @@ def test_cascade_is_exact(spark):
 # 7
 
 
-def test_licenses(spark, empty):
-    texts = [
-        ("Intro.\nLicensed under the Apache License, Version 2.0.\nMore text here.", "A", "Apache-2.0"),
-        ("Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "ABC", "Apache-2.0"),
-        ("Released under the MIT License.\nword\nLicensed under CC BY-NC 4.0.", "M.K", "MIT,CC-BY-NC-4.0"),
-        ("released  under THE mit license", "M", "MIT"),
+def wrapped(text, width, before="", after=""):
+    import textwrap
+
+    return "\n".join(before + line + after if line else before.rstrip() for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""])
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+
+def license_cases():
+    """(text, identifiers or None, licences)."""
+    out = [
+        ("Intro.\nLicensed under the Apache License, Version 2.0.\nMore text here.", "<Apache-2.0:notice>", "Apache-2.0"),
+        ("Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "<Apache-2.0:notice><Apache:file><Apache:copy>", "Apache-2.0"),
+        ("Released under the MIT License.\nword\nLicensed under CC BY-NC 4.0.", "<MIT:notice>|<CC-BY-NC-4.0:notice>", "MIT,CC-BY-NC-4.0"),
+        ("released  under THE mit license", "<MIT:notice>", "MIT"),
+        ("# SPDX-License-Identifier: MPL-2.0\ncode", "<MPL-2.0:notice>", "MPL-2.0"),
         ("We released it under the MIT license yesterday.", "", ""),
         (None, "", ""),
         ("", "", ""),
+        ("licenses and software\n\n", "", ""),
+        ("Licensed under the Apache License," + " " * 1200 + "Version 2.0.", "<Apache-2.0:notice>", "Apache-2.0"),
+        ("*" * 2000 + " Released under the MIT License " + "*" * 2000, "<MIT:notice>", "MIT"),
+        ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "<BSD:source>", ""),
     ]
-    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id int, text string")
+    for text, name in ((MIT, "MIT"), (APACHE, "Apache-2.0"), (BSD, "BSD-3-Clause"), (BSD.replace("3. Neither", "x").split("x")[0] + BSD[BSD.index("THIS SOFTWARE") :], "BSD-2-Clause"), (GPL, "GPL-3.0-or-later")):
+        out += [(t, None, name) for t in (text, wrapped(text, 72), wrapped(text, 30), wrapped(text, 60, "// "), wrapped(text, 60, " * "), wrapped(text, 50, "/* ", " */"), wrapped(text, 70, "    # "), "import x\n\n" + wrapped(text, 70, "# ") + "\nclass X:\n    pass", text.upper(), wrapped(text, 72).replace("\n", "\r\n"))]
+    return out
+
+
+def test_licenses(spark, empty):
+    texts = license_cases()
+    df = spark.createDataFrame([(i, t[0], "x", [1]) for i, t in enumerate(texts)], "doc_id int, text string, found string, identifiers array<int>")
     got = {r["doc_id"]: (r["identifiers"], ",".join(r["found"])) for r in licenses.scan(df).collect()}
-    assert got == {i: t[1:] for i, t in enumerate(texts)}
+    assert {i: (t[1] if t[1] is not None else got[i][0], t[2]) for i, t in enumerate(texts)} == got
     assert licenses.scan(empty).count() == 0
+    mit = "<MIT:grant><MIT:keep><MIT:asis><MIT:liable>"
+    assert got[[t[0] for t in texts].index(MIT)][0] == mit
+
 
+def test_licenses_sql(spark, tmp_path):
+    import duckdb
 
-def test_licenses_padded(spark):
-    padded = ["Released under" + " " * 3000 + "the MIT License", "*" * 2000 + " Released under the MIT License " + "*" * 2000]
-    df = spark.createDataFrame(list(enumerate(padded)), "doc_id int, text string")
-    assert [r["identifiers"] for r in licenses.scan(df).collect()] == ["M", "M"]
+    rows = [(i, t[0]) for i, t in enumerate(license_cases())] + [(0, "Released under the MIT License"), (None, "Licence: CC0 1.0")]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = Counter(con.execute(licenses.OP7_SQL).fetchall())
+    out = licenses.op7_license_scan(spark, str(tmp_path))
+    assert Counter(tuple(r) for r in out.select("doc_id", "identifiers", "licenses", "n_sentences").collect()) == want
 
 
 # 8
@@ -485,6 +578,12 @@ def test_one_of_each_group(spark, docs, empty):
     assert simhash.one_of_each_group(empty).count() == 0
 
 
+def test_texts_that_share_a_hash(spark, docs, monkeypatch):
+    want = sorted(map(repr, simhash.one_of_each_group(docs).collect()))
+    monkeypatch.setattr(simhash, "text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    assert sorted(map(repr, simhash.one_of_each_group(docs).collect())) == want
+
+
 # 9
 
 
