@@ -121,27 +121,42 @@ def join_list(items: Column) -> Column:
     return F.array_join(items, SEP)
 
 
+#: A field mark in any damaged form: bars lost, doubled or swapped for another sign, the core lost, doubled or escaped, one angle lost.
+DAMAGED_MARK = r"<(?=#>|[^<>]*\|)[^<>#|]?\|*\\?#(?:\|*#)?\|*[^<>#|]?>|<\|+>|<\|#\|+(?!>)|(?<![<|])\|+#\|>"
+
+
 def repair_marks(text: Column) -> Column:
-    """Damaged field marks put right: missing or doubled bars, signs or brackets around the core sign."""
-    core = r"#"
-    fixed = F.regexp_replace(text, rf"<\|{core}\|*{core}\|>", FIELD_MARK.replace("|", r"|"))
-    fixed = F.regexp_replace(fixed, rf"<\|+\\?{core}\|+>", FIELD_MARK)
-    fixed = F.regexp_replace(fixed, rf"<{core}\|>|<\|{core}>|<{core}>", FIELD_MARK)
-    fixed = F.regexp_replace(fixed, rf"<\|{core}\|(?![>|])", FIELD_MARK)
-    return F.regexp_replace(fixed, rf"(?<![<|])\|{core}\|>", FIELD_MARK)
+    """Every damaged field mark written out whole (survey 8.10)."""
+    return F.regexp_replace(text, DAMAGED_MARK, FIELD_MARK)
+
+
+#: Outer quotes that go if none of the pair is inside, and wide signs besides letters and digits.
+QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("《", "》"))
+WIDE_SIGNS = (("－", "-"), ("＋", "+"), ("／", "/"), ("＊", "*"), ("（", "("), ("）", ")"), ("—", "-"), ("　", " "))
+_HAN, _LATIN = "[一-龥]", r"[A-Za-z0-9()\[\]@#$%!&*\-=+_]"
+
+
+def once(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _unquoted(x: Column, left: str, right: str) -> Column:
+    inside = x.substr(F.lit(2), F.length(x) - 2)
+    pair = (F.length(x) >= 2) & x.startswith(left) & x.endswith(right)
+    return F.when(pair & ~inside.contains(left) & ~inside.contains(right), inside).otherwise(x)
 
 
 def extracted(text: Column, inner_quotes: bool = False) -> Column:
-    """An extracted name: no line tags, ASCII forms of wide signs, no blanks between CJK, no outer quotes, no short numbers."""
-    out = F.regexp_replace(text, r"(?i)</?p\s*>|<br\s*/?>", "")
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    out = F.translate(out, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
-    out = F.regexp_replace(out, r"(?<=[一-龥])\s+(?=[一-龥])", "")
-    out = F.regexp_replace(out, r"(?<=[一-龥])\s+(?=[A-Za-z0-9()\[\]@#$%!&*\-=+_])|(?<=[A-Za-z0-9()\[\]@#$%!&*\-=+_])\s+(?=[一-龥])", "")
-    quoted = F.regexp_extract(out, "(?s)^[\"'“‘《](.+)[\"'”’》]$", 1)
-    out = F.when((quoted != "") & ~quoted.rlike("[\"'“”‘’《》]"), quoted).otherwise(out)
+    """An extracted name (survey 8.9): no line tags, ASCII letters, digits and brackets, no blanks beside Han signs, no outer quotes, no short numbers."""
+    out = F.regexp_replace(text, r"(?i)</?(?:p|br)\s*>|<(?:p|br)/>", "")
+    wide = "".join(chr(c + 0xFEE0) for c in range(33, 127) if chr(c).isalnum())
+    out = F.translate(out, wide + "".join(w for w, _ in WIDE_SIGNS), "".join(chr(ord(w) - 0xFEE0) for w in wide) + "".join(n for _, n in WIDE_SIGNS))
+    out = F.regexp_replace(out, rf"(?<={_HAN})\s+(?={_HAN}|{_LATIN})|(?<={_LATIN})\s+(?={_HAN})", "")
+    for left, right in QUOTES:
+        out = once(out, lambda x: _unquoted(x, left, right))  # noqa: B023
     if inner_quotes:
-        out = F.regexp_replace(F.regexp_replace(out, "[“”‘’]", ""), " ", " ")
-    out = strip(out)
-    short = (F.length(out) < 3) & out.rlike("^[0-9]+$") | (F.length(out) < 6) & out.rlike(r"^[0-9.]+$") & out.contains(".")
-    return F.when(short, "").otherwise(out)
+        out = F.regexp_replace(out, rf"[“”‘’]|['\"]+(?={_HAN})|(?<={_HAN})['\"]+", "")
+        out = F.regexp_replace(out, "\u00a0|(?<=[^0-9])\u202f", " ")
+    short = lambda x: (F.length(x) < 3) & x.rlike("^[0-9]+$") | (F.length(x) < 6) & x.rlike(r"^[0-9.]+$") & x.contains(".")
+    return once(strip(out), lambda x: F.when(short(x), "").otherwise(x))

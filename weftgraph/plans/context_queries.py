@@ -67,12 +67,11 @@ def dynamic_budget(spark, d):
     return read_table(spark, d, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(0), 30000 - (size("system") + size("user") + 200)).alias("available"))
 
 
-@query("mask_views", "SELECT count(*) AS edges FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
+@query("mask_views", "SELECT l_suppkey, l_partkey, substr(md5('mask-' || l_suppkey || '-' || l_partkey), 1, 2) < '33' AS masked FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
 def mask_views(spark, d):
-    """A fifth of the fact edges is masked by hash; kept and masked ones are all edges, in every run."""
+    """A fifth of the fact edges is masked by hash, the same in every run (survey 11.11)."""
     rows = read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    masked = F.pmod(F.xxhash64("l_suppkey", "l_partkey", F.lit("mask")), F.lit(100)) < 20
-    return rows.groupBy(masked.alias("masked")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("edges"))
+    return rows.select("l_suppkey", "l_partkey", (F.substring(F.md5(F.concat(F.lit("mask-"), "l_suppkey", F.lit("-"), "l_partkey")), 1, 2) < "33").alias("masked"))
 
 
 @query("corpus_build", r"SELECT doc_id, '[chunk ' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id))::VARCHAR, 4, '0') || ']' AS title, count(*) OVER (PARTITION BY source) AS num_chunks FROM documents")
@@ -87,13 +86,18 @@ def keyword_fallback(spark, d):
     return read_table(spark, d, "conversations").select("conv_id", "turn", F.when(F.length("text") < 50, F.col("text")).otherwise("").alias("keywords"))
 
 
-@query("chunk_id_alias", "SELECT DISTINCT 'chunk-' || md5(text) AS chunk_id FROM benchmark")
+@query(
+    "chunk_id_alias",
+    "WITH i AS (SELECT item_id, 'chunk-' || md5(text) AS chunk_id FROM benchmark), s AS (SELECT item_id, unnest([0, 1, 2, 3]) AS form, chunk_id FROM i) SELECT item_id, form, CASE WHEN form < 3 THEN chunk_id END AS chunk_id FROM s",
+)
 def chunk_id_alias(spark, d):
-    """Ids as a model cites them, quoted, spaced or in capitals, resolve to the stored id."""
-    ids = read_table(spark, d, "benchmark").select(T.md5_id(F.col("text"), "chunk-").alias("chunk_id")).distinct()
-    cited = ids.select(F.explode(F.array(F.concat(F.lit(' "'), "chunk_id", F.lit('" ')), F.upper("chunk_id"), F.concat(F.lit("see "), "chunk_id", F.lit(".")))).alias("said"))
+    """Ids as a model cites them, quoted, spaced or in capitals, resolve to the stored id, others to none (survey 8.17)."""
+    ids = read_table(spark, d, "benchmark").select("item_id", T.md5_id(F.col("text"), "chunk-").alias("chunk_id"))
+    forms = F.array(F.concat(F.lit(' "'), "chunk_id", F.lit('" ')), F.upper("chunk_id"), F.concat(F.lit("see "), "chunk_id", F.lit(".")), F.concat(F.lit("chunk-"), F.md5("chunk_id")))
+    cited = ids.select("item_id", F.posexplode(forms).alias("form", "said"))
     alias = F.regexp_extract(F.lower("said"), "chunk-[0-9a-f]{32}", 0)
-    return cited.select(alias.alias("chunk_id")).join(ids, "chunk_id", "left_semi").distinct()
+    known = ids.select("chunk_id").distinct()
+    return cited.join(known, alias == F.col("chunk_id"), "left").select("item_id", "form", "chunk_id")
 
 
 @query("retry_rows", "SELECT event_type AS status, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")

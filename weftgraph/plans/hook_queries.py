@@ -37,9 +37,18 @@ def json_repair(spark, d):
     return fixed.select("event_id", F.get_json_object("fixed", "$.k").cast("long").alias("k"))
 
 
-@query("judge_parse", "SELECT o_orderkey, o_orderstatus = 'F' AS correct FROM orders")
+#: Answers of a judge and what they say.
+ANSWERS = (
+    ("Correct.", True), ("INCORRECT", False), ('```json {"same": true} ```', True), ('{"same": false, "verdict": "correct"}', False), ('so {"verdict": "Correct"} then', True), ('{"label": "incorrect"}', False),
+    ('{"equivalent": "yes"}', True), ('{"is_same": 0}', False), ('"correct"', True), ("yes", False), ("The answer is correct", True), ("It is not correct but incorrect", False), ("{broken", False), ('{"other": 1}', False),
+)
+_SAID = " ".join(f"WHEN {i} THEN {str(v).lower()}" for i, (_, v) in enumerate(ANSWERS))
+
+
+@query("judge_parse", f"SELECT o_orderkey, CASE o_orderkey % {len(ANSWERS)} {_SAID} END AS correct FROM orders")
 def judge_parse(spark, d):
-    said = F.when(F.col("o_orderstatus") == "F", F.lit('```json {"correct": true} ```')).when(F.col("o_orderstatus") == "O", F.lit("No, this is incorrect.")).otherwise(F.lit('{"correct": false}'))
+    """Verdicts of a judge's answers, of every form that they come in (survey 8.15)."""
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in ANSWERS]), (F.col("o_orderkey") % len(ANSWERS) + 1).cast("int"))
     rows = hooks.map_text(read_table(spark, d, "orders").select("o_orderkey", said.alias("said")), "said", hooks.judged, "correct", "boolean")
     return rows.select("o_orderkey", "correct")
 

@@ -215,19 +215,35 @@ def extraction_split(spark, d):
     return out.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("records"), F.count_if(kind == "entity").alias("entities"), F.count_if(kind == "relation").alias("relations"))
 
 
-@query("delimiter_repair")
+@query("delimiter_repair", "SELECT p_partkey, 'entity<|#|>' || p_name || '<|#|>' || p_type || '<|#|>' || p_brand AS record, 4 AS fields FROM part")
 def delimiter_repair(spark, d):
-    """Damaged marks between the parts of a record; the repaired record splits into four fields."""
-    damaged = ["<|#|>", "<|##|>", "<||#||>", "<#|>", "<|#>", "<#>", "|#|>", "<|#|"]
+    """Damaged marks between the parts of a record; the repaired record is as if they had never been (survey 8.10)."""
+    damaged = ["<|#|>", "<|##|>", "<|#||#|>", r"<|\#|>", "<|>", "<||>", "<X|#|>", "<|#|Y>", "<X|#|Y>", "<||#||>", "<#|>", "<|#>", "<#>", "<X#|>", "<|#X>", "|#|>", "<|#|", "<|#||", "||#|>"]
     bad = F.element_at(F.array(*[F.lit(x) for x in damaged]), (F.pmod("p_partkey", F.lit(len(damaged))) + 1).cast("int"))
     rows = read_table(spark, d, "part").select("p_partkey", F.concat(F.lit("entity"), bad, "p_name", bad, "p_type", bad, "p_brand").alias("record"))
     fixed = T.repair_marks(F.col("record"))
     return rows.select("p_partkey", fixed.alias("record"), F.size(F.split(fixed, r"<\|#\|>")).alias("fields"))
 
 
-@query("extracted_normalise")
+#: Raw names and what is left of them; {} is a part's name.
+NAMES = (
+    ('"{}"', "{}"), ("'it's {}'", "'it's {}'"), ("<p>{}</p><br/><p/>", "{}"), ("《{}》", "{}"), ("北京 {}", "北京{}"), ("\"{}'", "\"{}'"), ("12", ""), ("1.2.3", ""), ("Ａ１—{}", "A1-{}"), ("{}，x", "{}，x"),
+    ("{} 北 京", "{}北京"), ("“a “{}” b”", "“a “{}” b”"), ("‘{}’", "{}"), ("（{}）", "({})"), ("1234", "1234"), ("<P >{}</BR >", "{}"), ("  {}　", "{}"),
+)
+
+
+def _named(templates, sql: bool):
+    if sql:
+        cases = " ".join("WHEN {} THEN {}".format(i, "replace('" + t.replace("'", "''") + "', '{}', p_name)") for i, t in enumerate(templates))
+        return f"CASE p_partkey % {len(templates)} {cases} END"
+    raw = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.pmod("p_partkey", F.lit(len(templates))) + 1).cast("int"))
+    return F.replace(raw, F.lit("{}"), F.col("p_name"))
+
+
+@query("extracted_normalise", f"SELECT p_partkey, {_named([n for _, n in NAMES], True)} AS name FROM part")
 def extracted_normalise(spark, d):
-    return _docs(spark, d).select("doc_id", T.extracted(F.substring_index("text", "\n", 1)).alias("name"))
+    """Names as a model gives them, without tags, wide signs and quotes (survey 8.9)."""
+    return read_table(spark, d, "part").select("p_partkey", T.extracted(_named([r for r, _ in NAMES], False)).alias("name"))
 
 
 @query("triple_filter", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT 's' || l_suppkey || '|supplies|' || 'p' || l_partkey)), ';') AS triples FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY l_orderkey")

@@ -194,12 +194,25 @@ def reference_list(spark, d):
     return retrieve.with_references(rows).select("doc_id", "reference_id")
 
 
-@query("node_split", "SELECT count(*) AS nodes FROM part")
+@query("node_split", "SELECT p_partkey, CASE WHEN substr(md5('split-42-' || p_partkey), 1, 2) < 'cc' THEN 'train' ELSE 'test' END AS side FROM part")
 def node_split(spark, d):
-    """A seeded split by hash keeps every node in exactly one part, whatever the partitioning."""
-    part = F.pmod(F.xxhash64("p_partkey", F.lit(42)), F.lit(100)) < 80
-    rows = read_table(spark, d, "part").select(F.when(part, "train").otherwise("test").alias("side"))
-    return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("nodes"))
+    """A seeded split by hash, the same whatever the partitioning (survey 6.16)."""
+    side = F.substring(F.md5(F.concat(F.lit("split-42-"), "p_partkey")), 1, 2) < "cc"
+    return read_table(spark, d, "part").select("p_partkey", F.when(side, "train").otherwise("test").alias("side"))
+
+
+@query(
+    "seeded_negatives",
+    "WITH e AS (SELECT DISTINCT l_suppkey AS h, l_partkey AS t FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS h FROM lineitem), n AS (SELECT count(*) AS n FROM part), "
+    "c AS (SELECT h, k, ('0x' || substr(md5('neg-' || h || '-' || k), 1, 8))::BIGINT % n AS t FROM s, (SELECT unnest(range(8)) AS k), n) SELECT h, min(k) AS k, t FROM c WHERE (h, t) NOT IN (SELECT (h, t) FROM e) GROUP BY h, t",
+)
+def seeded_negatives(spark, d):
+    """Tails drawn by hash for each head, without those that are true (survey 6.16)."""
+    edges = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("h"), F.col("l_partkey").alias("t")).distinct()
+    n = read_table(spark, d, "part").count()
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit("neg-"), "h", F.lit("-"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long") % n
+    rows = edges.select("h").distinct().select("h", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")).alias("k")).withColumn("t", drawn)
+    return rows.join(edges, ["h", "t"], "left_anti").groupBy("h", "t").agg(F.min("k").alias("k"))
 
 
 @query("title_window", r"SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents")
