@@ -46,12 +46,6 @@ def hetero_graph(spark, d):
     return rows.withColumn("kind", F.lit(0)).withColumn("walk_weight", F.least("weight", F.lit(5.0)))
 
 
-@query("edge_type", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 20 >= 1 THEN 0 WHEN l_discount > 0 THEN 1 ELSE 2 END AS edge_type FROM lineitem")
-def edge_type(spark, d):
-    w = F.col("l_discount") * 20
-    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(w >= 1, 0).when(F.col("l_discount") > 0, 1).otherwise(2).alias("edge_type"))
-
-
 @query("node_type", f"WITH {FACTS} SELECT DISTINCT n, CASE WHEN starts_with(n, 'entity-') THEN 0 WHEN starts_with(n, 'chunk-') THEN 1 ELSE 2 END AS node_type FROM (SELECT 'entity-' || md5(s) AS n FROM facts UNION ALL SELECT 'chunk-' || md5(chunk::VARCHAR) FROM facts UNION ALL SELECT p FROM facts)")
 def node_type(spark, d):
     rows = fx.facts(spark, d).select(F.explode(F.array(F.concat(F.lit("entity-"), F.md5("s")), F.concat(F.lit("chunk-"), F.md5(F.col("chunk").cast("string"))), "p")).alias("n")).distinct()
@@ -135,10 +129,11 @@ def logical_query_2u(spark, d):
     return rows.where("l_suppkey = 1").select(F.col("l_partkey").alias("answer")).union(rows.where("l_suppkey = 2").select("l_partkey")).distinct()
 
 
-@query("logical_query_2in", "SELECT DISTINCT l_partkey AS answer FROM lineitem WHERE l_suppkey = 1 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("logical_query_2in", "SELECT DISTINCT l_orderkey AS answer FROM lineitem WHERE l_suppkey = 1 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def logical_query_2in(spark, d):
     rows = read_table(spark, d, "lineitem")
-    return rows.where("l_suppkey = 1").select(F.col("l_partkey").alias("answer")).exceptAll(rows.where("l_suppkey = 1 AND l_returnflag = 'never'").select("l_partkey")).distinct().join(rows.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("answer")), "answer", "left_anti")
+    flagged = rows.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("answer"))
+    return rows.where("l_suppkey = 1").select(F.col("l_orderkey").alias("answer")).distinct().join(flagged, "answer", "left_anti")
 
 
 @query("logical_query_2p", "SELECT DISTINCT c_nationkey AS answer FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_suppkey = 1")

@@ -83,19 +83,6 @@ def kg_completion_metrics(spark, d):
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rank"), 6).alias("mr"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), hit(1), hit(10))
 
 
-@query(
-    "path_beam",
-    "WITH a AS (SELECT l_suppkey AS s, l_orderkey AS o, max(l_discount) AS w FROM lineitem WHERE l_suppkey = 1 GROUP BY ALL), b AS (SELECT l_orderkey AS o, l_partkey AS p, max(l_tax) AS w FROM lineitem GROUP BY ALL), c AS (SELECT p, o, a.w + b.w AS total FROM a JOIN b USING (o)) SELECT p, o, round(total / 2, 6) AS score, n FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(total / 2, 6) DESC, o) AS n FROM c) WHERE n <= 3",
-)
-def path_beam(spark, d):
-    """Two-step paths from a supplier to parts by mean edge weight; the best three for each target."""
-    rows = read_table(spark, d, "lineitem")
-    a = rows.where("l_suppkey = 1").groupBy(F.col("l_orderkey").alias("o")).agg(F.max("l_discount").alias("wa"))
-    b = rows.groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).agg(F.max("l_tax").alias("wb"))
-    paths = a.join(b, "o").select("p", "o", F.round((F.col("wa") + F.col("wb")) / 2, 6).alias("score"))
-    return paths.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "o"))).where("n <= 3")
-
-
 @query("relation_spmm", "SELECT l_suppkey AS node, min(l_quantity * p_retailprice) AS low, max(l_quantity * p_retailprice) AS high FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def relation_spmm(spark, d):
     """Minimum and maximum over products along edges."""
@@ -104,14 +91,6 @@ def relation_spmm(spark, d):
     return rows.groupBy(F.col("l_suppkey").alias("node")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-@query("bellman_ford", "SELECT o_custkey AS node, min(l_extendedprice + o_totalprice) AS cost FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey = 1 GROUP BY 1")
-def bellman_ford(spark, d):
-    """Least cost over two rounds, from a supplier by orders to customers."""
-    rows = read_table(spark, d, "lineitem").where("l_suppkey = 1").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("c"))
-    orders = read_table(spark, d, "orders")
-    return orders.join(rows, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("node")).agg(F.min(F.col("c") + F.col("o_totalprice")).alias("cost"))
-
-
 @query("evidence_collection", f"WITH {FACTS}, r AS (SELECT s, p, o, chunk, row_number() OVER (PARTITION BY s ORDER BY chunk, o) AS n FROM facts) SELECT s, string_agg(o, '|' ORDER BY n) AS objects, count(*) AS n FROM r WHERE n <= 15 GROUP BY s")
 def evidence_collection(spark, d):
     order = Window.partitionBy("s").orderBy("chunk", "o")
@@ -136,11 +115,6 @@ def candidate_cap(spark, d):
     return rows.where(F.col("n") <= F.ceil(F.col("c") * F.lit(0.1))).select("l_suppkey", "l_partkey")
 
 
-@query("deletable_candidates", f"WITH {FACTS}, n AS (SELECT DISTINCT s AS e FROM facts) SELECT e FROM n WHERE e <> 'supplier 1' AND starts_with(e, 'supplier')")
-def deletable_candidates(spark, d):
-    return fx.facts(spark, d).select(F.col("s").alias("e")).distinct().where((F.col("e") != "supplier 1") & F.col("e").startswith("supplier"))
-
-
 @query("index_cache_state", "SELECT count(*) AS docs, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS cached, count(*) FILTER (WHERE l.doc_id IS NULL) AS fresh, bool_and(l.doc_id IS NOT NULL) AS complete FROM documents d LEFT JOIN labels l USING (doc_id)")
 def index_cache_state(spark, d):
     labels = read_table(spark, d, "labels").select("doc_id").distinct().withColumn("hit", F.lit(True))
@@ -191,5 +165,3 @@ def walk_degree_bound(spark, d):
 def edge_view(spark, d):
     """Batch read of a node's incident edges."""
     return fx.facts(spark, d).where("s = 'supplier 1' OR o = 'supplier 1'").groupBy(F.col("s").alias("source"), F.col("o").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
-
-
