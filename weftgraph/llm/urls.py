@@ -129,7 +129,7 @@ def judge(pages: DataFrame, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame
     # a host without a path is as listed as its root
     keys = F.when(F.col("path") == "", candidate_keys(F.col("host"), F.lit("/"), [1])).otherwise(keys) if by_list else keys
     universe = rows.select(F.explode(keys).alias("key"))
-    listed = spark.createDataFrame([(k,) for k in [*by_rule, *by_list]], "key string")
+    listed = spark.range(1).select(F.explode(F.split(F.lit("\n".join([*by_rule, *by_list])), "\n")).alias("key"))
     levels = build_cascade(universe, listed)
     rows = rows.withColumn("hits", F.filter(keys, lambda k: listed_by(k, levels)))
     names = F.create_map(*[x for k, (v, _) in by_rule.items() for x in (F.lit(k), F.lit(v))])
