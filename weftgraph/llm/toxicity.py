@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table, text_or_empty
+from .gather import offsets_of
 
 MOST_TOXIC, MOST_UNLABELLED = 4_000, 12_000
 FEATURES = 512
@@ -37,7 +39,7 @@ FEATURES = 512
 #: name is the beginning, a star, and that number if it is not 1.
 HEADS, TIMES = (4, 5, 6, 7, 8), (1, 2, 3, 5)
 #: Texts whose features are held at once.
-TEXTS = 256
+TEXTS = 32
 #: A feature must be in so many toxic texts of the sample.
 LEAST_TEXTS = 5
 STEPS, RATE, DECAY = 600, 0.3, 1e-5
@@ -137,13 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
     if not at:
         return {}, math.log(prior / (1 - prior))
 
+    names = pa.array(list(at), pa.binary())
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.zeros((b.num_rows, len(at)), np.uint8)
-            for i, found in enumerate(b.column(0).to_pylist()):
-                for w in found:
-                    if w in at:
-                        bits[i, at[w]] = 1
+            found = pc.fill_null(pc.index_in(b.column(0).flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(b.num_rows), np.diff(offsets_of(b.column(0))))
+            bits = np.zeros((b.num_rows, len(names)), np.uint8)
+            bits[text[found >= 0], found[found >= 0]] = 1
             packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], ["bits", "toxic"])
 
