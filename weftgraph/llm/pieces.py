@@ -44,6 +44,8 @@ MARK = "▁"
 STEP = 64
 #: Runs between sure boundaries up to this length are remembered; all are streamed.
 KEPT = 64
+#: Bytes of text encoded together.
+SLICE = 8 << 20
 #: Neighbouring pieces remembered as fitting or not.
 MOST_PAIRS = 1 << 19
 #: Runs without their last mark that are remembered, for each of two generations; about 150 bytes each.
@@ -305,7 +307,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         model = model_of(path)
         for b in batches:
             last = b.num_columns - 1
-            for part in slices(b, last):
+            for part in slices(b, last, SLICE):
                 ids = encode_column(model, part.column(last))
                 data = ids.buffers()[2]
                 ids = pa.ListArray.from_arrays(pa.array(offsets_of(ids) // 4, pa.int32()), pa.array(np.frombuffer(data, np.int32) if data is not None else [], pa.int32()))
@@ -322,7 +324,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for b in batches:
-            for part in slices(b, 1):
+            for part in slices(b, 1, SLICE):
                 texts = part.column(1).to_pylist()
                 coded = encode_column(model, part.column(1))
                 back, ids = decode_column(model, coded), coded.to_pylist()
