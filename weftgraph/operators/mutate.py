@@ -49,9 +49,10 @@ def merge_nodes(edges: DataFrame, sources: list, target) -> DataFrame:
 
 
 def overlay(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Columns of an edit replace those of the row with its key; the last edit of a key wins nothing more, keys are unique."""
+    """Columns of an edit replace those of the row with its key; of several edits of a key the greatest counts, so rows stay as many as they were."""
     changed = [c for c in edits.columns if c != key]
-    e = edits.select(F.col(key).alias("key_"), F.lit(True).alias("hit_"), *[F.col(c).alias(f"new_{c}") for c in changed])
+    one = edits.groupBy(F.col(key).alias("key_")).agg(F.max(F.struct(*changed)).alias("e_"))
+    e = one.select("key_", F.lit(True).alias("hit_"), *[F.col("e_")[c].alias(f"new_{c}") for c in changed])
     both = rows.join(e, F.col(key) == F.col("key_"), "left")
     return both.select(*[F.when(F.col("hit_"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in rows.columns])
 

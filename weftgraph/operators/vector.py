@@ -28,17 +28,17 @@ def top_k(rows: DataFrame, vector: list[float], k: int, threshold: float | None
 def knn(queries: DataFrame, keys: DataFrame, k: int, threshold: float = -1.0, blocks: int | None = None) -> DataFrame:
     """(query_id, key_id, score, rank): the k keys of the greatest cosine for each query.
 
-    Queries and keys are dealt into blocks; each pair of blocks is one product of matrices in one
-    task, which passes on its best k a query, so that only queries x blocks x k rows are shuffled.
-    Both sides have columns vec_id and embedding.
+    Queries and keys are dealt into blocks, each side by its own number of rows; each pair of blocks is one product of matrices in one
+    task, which passes on its best k a query, so that only queries x blocks x k rows are shuffled. A row is sent once for each block of
+    the other side: keys only once where the queries fill one block. Both sides have columns vec_id and embedding.
     """
-    session = queries.sparkSession
-    if blocks is None:
-        n = max(queries.count(), keys.count())
-        blocks = max(1, -(-n // BLOCK))
-    side = lambda df, own, other: df.select(F.col("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("own")).select(
-        F.lit(own).alias("side"), "vec_id", "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct((F.col("own") if own == "q" else b).alias("q"), (b if own == "q" else F.col("own")).alias("k")))).alias("cell")
-    )
+    n_blocks = {"q": blocks or max(1, -(-queries.count() // BLOCK)), "k": blocks or max(1, -(-keys.count() // BLOCK))}
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.select("vec_id", F.col("embedding").cast("array<float>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks[own])).alias("own"))
+        cells = F.transform(F.sequence(F.lit(0), F.lit(n_blocks[other] - 1)).cast("array<bigint>"), lambda b: F.struct((F.col("own") if own == "q" else b).alias("q"), (b if own == "q" else F.col("own")).alias("k")))
+        return rows.select(F.lit(own).alias("side"), "vec_id", "v", F.explode(cells).alias("cell"))
+
     both = side(queries, "q", "k").unionByName(side(keys, "k", "q")).select("cell.q", "cell.k", "side", "vec_id", "v")
 
     def best(table: pa.Table) -> pa.Table:

@@ -55,10 +55,11 @@ def judge_parse(spark, d):
 
 @query("closest_match")
 def closest_match(spark, d):
-    """The part type most alike to each name; the list of types is short and fixed."""
-    types = [r[0] for r in read_table(spark, d, "part").select("p_type").distinct().orderBy("p_type").limit(200).collect()]
-    rows = read_table(spark, d, "part").select("p_partkey", "p_name")
-    return hooks.map_text(rows, "p_name", lambda x: types[hooks.closest(x or "", types)], "type", "string").select("p_partkey", "type")
+    """The part type most alike to each name; types are a vocabulary, so all of them are sent, and each distinct name is compared once."""
+    parts = read_table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    types = [r[0] for r in parts.select("p_type").distinct().orderBy("p_type").collect()]
+    names = hooks.map_text(parts.select("p_name").distinct(), "p_name", lambda x: types[hooks.closest(x or "", types)], "type", "string")
+    return parts.join(names, parts["p_name"].eqNullSafe(names["p_name"])).select("p_partkey", "type")
 
 
 @query("first_line_merge", r"SELECT split_part(text, chr(10), 1) AS title, string_agg(substr(text, length(split_part(text, chr(10), 1)) + 2), chr(10) ORDER BY doc_id) AS body, count(*) AS n FROM documents GROUP BY 1")

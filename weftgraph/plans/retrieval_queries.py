@@ -27,8 +27,7 @@ def _vectors(spark, d):
 
 
 def _chunks(spark, d):
-    tokens = F.size(chunking.tokens_of(F.col("text"))).alias("tokens")
-    return read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", tokens, F.col("source").alias("file_path"))
+    return read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("file_path"))
 
 
 @query(
@@ -39,7 +38,7 @@ def _chunks(spark, d):
     SELECT 'chunk-' || md5(text) AS chunk_id, id, score, pos::BIGINT AS pos, tokens::BIGINT AS tokens, spent::BIGINT AS spent, file_path, n::VARCHAR AS reference_id FROM w JOIN r USING (file_path)""",
 )
 def naive_search(spark, d):
-    out = R.naive(_chunks(spark, d), _vectors(spark, d), _probe(spark, d), 40, 0.0, 30000)
+    out = R.naive(_chunks(spark, d), _vectors(spark, d), _probe(spark, d), 40, 0.0, 30000, F.size(chunking.tokens_of(F.col("text"))))
     return out.select(T.md5_id(F.col("text"), "chunk-").alias("chunk_id"), "id", "score", F.col("pos").cast("long").alias("pos"), F.col("tokens").cast("long").alias("tokens"), "spent", "file_path", "reference_id")
 
 
