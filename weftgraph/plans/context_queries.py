@@ -28,7 +28,12 @@ def summary_branch(spark, d):
     return read_table(spark, d, "conversations").groupBy("conv_id").agg(n.alias("items"), tokens.alias("tokens"), branch.alias("branch"))
 
 
-@query("summary_packing")
+@query(
+    "summary_packing",
+    "WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i, length(text) AS n FROM conversations), "
+    "s AS (SELECT conv_id, i, 1 AS g, n AS held FROM o WHERE i = 1 UNION ALL SELECT o.conv_id, o.i, CASE WHEN held = 0 OR held + n <= 1200 THEN g ELSE g + 1 END, CASE WHEN held = 0 OR held + n <= 1200 THEN held + n ELSE n END FROM s JOIN o ON o.conv_id = s.conv_id AND o.i = s.i + 1), "
+    "c AS (SELECT conv_id, g, count(*) AS c FROM s GROUP BY conv_id, g) SELECT conv_id, string_agg(c, ',' ORDER BY g) AS groups, sum(c)::INTEGER AS items FROM c GROUP BY conv_id",
+)
 def summary_packing(spark, d):
     """Greedy groups of descriptions in order, each within a budget, for map-reduce summaries."""
     items = read_table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda s: s["n"]).alias("sizes"))

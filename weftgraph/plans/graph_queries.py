@@ -52,7 +52,20 @@ def node_type(spark, d):
     return rows.select("n", F.when(F.col("n").startswith("entity-"), 0).when(F.col("n").startswith("chunk-"), 1).otherwise(2).alias("node_type"))
 
 
-@query("ppr")
+def _ppr_sql(rounds: int) -> str:
+    steps = []
+    for k in range(1, rounds + 1):
+        steps.append(f"r{k} AS MATERIALIZED (SELECT q, node, sum(x) AS score FROM (SELECT q, dst AS node, 0.5 * score * p AS x FROM r{k - 1} JOIN step ON src = node UNION ALL SELECT q, node, score FROM base) GROUP BY q, node)")
+    return f"""WITH {_EDGES}, b AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), strength AS (SELECT src, sum(weight) AS s FROM b GROUP BY src),
+    step AS MATERIALIZED (SELECT src, dst, weight / s AS p FROM b JOIN strength USING (src)),
+    seeds AS (SELECT n_regionkey AS q, 'supplier ' || s_suppkey AS node, s_acctbal AS weight FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0),
+    r0 AS MATERIALIZED (SELECT q, node, weight / sum(weight) OVER (PARTITION BY q) AS score FROM seeds),
+    alone AS (SELECT q, sum(score) AS f FROM r0 WHERE node NOT IN (SELECT src FROM strength) GROUP BY q),
+    base AS MATERIALIZED (SELECT r0.q, node, score * 0.5 / (1 - 0.5 * coalesce(f, 0)) AS score FROM r0 LEFT JOIN alone ON alone.q = r0.q), {", ".join(steps)}
+    SELECT q, node, round(score, 9) AS score FROM r{rounds}"""
+
+
+@query("ppr", _ppr_sql(G.SETTLED))
 def ppr(spark, d):
     """PageRank from each region's suppliers, all regions in one job."""
     edges = _edges(spark, d)
@@ -69,7 +82,12 @@ def hop_distance(spark, d):
     return G.hop_distance(_edges(spark, d), spark.range(1).select(F.lit("supplier 1").alias("node")), 3)
 
 
-@query("bfs_view")
+@query(
+    "bfs_view",
+    f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT 'supplier 1' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM w JOIN b ON src = node WHERE hop < 3), l AS (SELECT node, min(hop) AS hop FROM w GROUP BY node), "
+    "g AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node), r AS (SELECT node, hop, row_number() OVER (ORDER BY hop, coalesce(d, 0) DESC, node) AS place FROM l LEFT JOIN g USING (node)) "
+    "SELECT node, hop, place, (SELECT max(place) FROM r) > 1000 AS is_truncated FROM r WHERE place <= 1000",
+)
 def bfs_view(spark, d):
     view, cut = G.bfs_view(_edges(spark, d), "supplier 1", 3, 1000)
     return view.withColumn("is_truncated", F.lit(cut))
