@@ -86,7 +86,7 @@ def hop_distance(spark, d):
     "bfs_view",
     f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT 'supplier 1' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM w JOIN b ON src = node WHERE hop < 3), l AS (SELECT node, min(hop) AS hop FROM w GROUP BY node), "
     "g AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node), r AS (SELECT node, hop, row_number() OVER (ORDER BY hop, coalesce(d, 0) DESC, node) AS place FROM l LEFT JOIN g USING (node)) "
-    "SELECT node, hop, place, (SELECT max(place) FROM r) > 1000 AS is_truncated FROM r WHERE place <= 1000",
+    "SELECT node, hop, place::INTEGER AS place, (SELECT max(place) FROM r) > 1000 AS is_truncated FROM r WHERE place <= 1000",
 )
 def bfs_view(spark, d):
     view, cut = G.bfs_view(_edges(spark, d), "supplier 1", 3, 1000)

@@ -177,7 +177,7 @@ def _beam_sql(layers: int, beam: int, most: int) -> str:
     for k in range(1, layers + 1):
         steps.append(f"k{k} AS (SELECT node, path, s FROM (SELECT dst AS node, list_append(path, dst) AS path, s + weight AS s, row_number() OVER (PARTITION BY dst ORDER BY round(s + weight, 9) DESC, list_append(path, dst)) AS n FROM k{k - 1} JOIN e ON src = node WHERE node NOT IN (SELECT target FROM t)) WHERE n <= {beam})")
     found = " UNION ALL ".join(f"SELECT node AS target, path, round(s / {k}, 9) AS score FROM k{k} WHERE node IN (SELECT target FROM t)" for k in range(1, layers + 1))
-    return f"WITH {_ROADS}, {', '.join(steps)}, f AS ({found}), o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, path) AS place FROM f) SELECT target, place, array_to_string(path, '>') AS path, score FROM o WHERE place <= {most}"
+    return f"WITH {_ROADS}, {', '.join(steps)}, f AS ({found}), o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, path) AS place FROM f) SELECT target, place::INTEGER AS place, array_to_string(path, '>') AS path, score FROM o WHERE place <= {most}"
 
 
 @query("path_beam", _beam_sql(3, 4, 3))
