@@ -60,3 +60,17 @@ def overlay(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
 def latest(rows: DataFrame, key: str, order: list) -> DataFrame:
     """The newest row of each key."""
     return rows.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("n_ = 1").drop("n_")
+
+
+def advance_queue(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The queue (doc_id, status, attempts) after a round of work (survey 13.1, 13.4).
+
+    Processed rows stay. All others are taken up: one with an outcome (doc_id, error) becomes PROCESSED or, with an error, FAILED, and has one
+    attempt more; one without is PENDING again, also if an earlier round broke off in PROCESSING.
+    """
+    done = outcomes.groupBy("doc_id").agg(F.max("error").alias("error"), F.lit(True).alias("has"))
+    rows = queue.join(done, "doc_id", "left")
+    keep = F.col("status") == "PROCESSED"
+    status = F.when(keep, F.col("status")).when(F.col("has") & F.col("error").isNotNull(), "FAILED").when(F.col("has"), "PROCESSED").otherwise("PENDING")
+    tried = F.when(~keep & F.coalesce("has", F.lit(False)), 1).otherwise(0)
+    return rows.select("doc_id", status.alias("status"), (F.col("attempts") + tried).alias("attempts"), F.when(~keep, F.col("error")).alias("error"))

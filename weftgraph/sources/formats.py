@@ -64,3 +64,9 @@ def stage1_nodes(nodes: DataFrame) -> DataFrame:
     """name, type and attributes as JSON with sorted keys."""
     entries = F.array_sort(F.map_entries("attributes"))
     return nodes.select("name", "type", F.to_json(F.map_from_entries(entries)).alias("attributes"))
+
+
+def write_markdown(rows: DataFrame, path: str) -> None:
+    """Each row as a line of a Markdown table; bars within values are escaped."""
+    cells = [F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")) for c in rows.columns]
+    rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.text(path)
