@@ -100,6 +100,12 @@ class PieceModel:
         self.memo, self.ends = Memo(RUNS), Memo(RUNS)
         self.shown = pa.array(self.text, pa.large_binary())
 
+    def forget(self) -> None:
+        """Give back what was remembered: workers outlive their tasks, and further stages need the memory."""
+        self.pairs = {}
+        self.memo, self.ends = Memo(RUNS), Memo(RUNS)
+        pa.default_memory_pool().release_unused()
+
     # the lattice
 
     def merge(self, text: str) -> list[str]:
@@ -312,6 +318,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 data = ids.buffers()[2]
                 ids = pa.ListArray.from_arrays(pa.array(offsets_of(ids) // 4, pa.int32()), pa.array(np.frombuffer(data, np.int32) if data is not None else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*b.schema.names[:-1], "ids_"])
+        model.forget()
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(keep)], text_or_empty().alias("text_"))
     out = rows.mapInArrow(run, rows.drop("text_").withColumn("ids_", F.array().cast("array<int>")).schema)
@@ -333,6 +340,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                      pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == y for x, y in zip(texts, back, strict=True)])],
                     ["doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_sha256", "same_text"],
                 )
+        model.forget()
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, same_text boolean")
