@@ -6,6 +6,7 @@ gathered by number. Nothing is done in Python for each word of a text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,14 @@ import pyarrow as pa
 SLICE_BYTES = 16 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and further stages need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def offsets_of(column: pa.Array) -> np.ndarray:
     """The ends of a column of strings, bytes or lists, from its first row's beginning."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) or pa.types.is_large_list(column.type)

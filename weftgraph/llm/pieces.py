@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .gather import gathered, offsets_of, slices
+from .gather import gathered, give_back, offsets_of, slices
 from .memo import Memo
 
 MARK = "▁"
@@ -45,11 +45,11 @@ STEP = 64
 #: Runs between sure boundaries up to this length are remembered; all are streamed.
 KEPT = 64
 #: Bytes of text encoded together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Neighbouring pieces remembered as fitting or not.
-MOST_PAIRS = 1 << 19
+MOST_PAIRS = 1 << 18
 #: Runs without their last mark that are remembered, for each of two generations; about 150 bytes each.
-RUNS = 300_000
+RUNS = 150_000
 
 _RUNS = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -104,7 +104,7 @@ class PieceModel:
         """Give back what was remembered: workers outlive their tasks, and further stages need the memory."""
         self.pairs = {}
         self.memo, self.ends = Memo(RUNS), Memo(RUNS)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     # the lattice
 

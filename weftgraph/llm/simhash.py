@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import small, staged, table, text_or_empty
 from .components import connected_components
+from .gather import give_back
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Children of a node of the index, and codes of a lowest node.
@@ -374,6 +375,8 @@ def _candidate_links(similarity: float):
         a, b = candidate_links(key[order], text[order], prints)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+        del keys, tids, known, key, tid, ids, text, prints, order, a, b
+        give_back()
 
     return run
 
@@ -509,6 +512,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["tid", "shingles"])
+        give_back()
 
     text = text_or_empty()
     rows = docs.select((text_id(docs) if tid is None else tid).alias("tid"), text.cast("binary").alias("text"))
@@ -523,6 +527,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
                 prints.append(parity_print(hashes).tobytes())
                 keys.append(prefix(hashes, similarity, frequent, often).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["tid", "n", "print", "keys"])
+        give_back()
 
     of = rows.mapInArrow(prefixes, "tid bigint, n bigint, print binary, keys array<bigint>")
     texts = staged(of.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n", "print", "keys")]), "copy-prefixes")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table, text_or_empty
-from .gather import offsets_of
+from .gather import give_back, offsets_of
 
 MOST_TOXIC, MOST_UNLABELLED = 4_000, 12_000
 FEATURES = 512
@@ -119,6 +119,7 @@ def _words_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             part = b.slice(at, TEXTS)
             found = [list(features(t)) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary())), part.column(1)], ["words", "toxic"])
+    give_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
@@ -210,6 +211,7 @@ def below_threshold(docs: DataFrame, weights: dict[bytes, float], bias: float, t
         for b in batches:
             keep = [score((t.as_py() or "").encode(), known, bias) < threshold for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
