@@ -51,3 +51,40 @@ def gathered(words: pa.Array, ends: np.ndarray, make: Callable[[list[str]], list
     at = np.ascontiguousarray(offsets_of(every).astype(np.int64)[ends - ends[0]])
     data = every.buffers()[2]
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), data if data is not None else pa.py_buffer(b"")])
+
+
+#: White space of Unicode, as patterns of tokenizers have it: the bytes of ASCII, then those of longer characters in UTF-8. Fixed values.
+_ASCII_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LONG_BLANK = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+_ASCII_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+def blank_runs(texts: pa.Array, marks: bytes = b"", never: bytes = b"") -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before each run of white space: all parts, and after a 0 the texts' ends among them.
+
+    They are also cut before each of the ``marks`` that follows a letter of ASCII, and not before a run that begins with one of ``never``. Only bytes are looked at; the parts share the texts' buffer.
+    """
+    at = offsets_of(texts).astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[: at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    blank = _ASCII_BLANK[data]
+    high = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    for c in _LONG_BLANK if len(high) else ():
+        hit = high[high + len(c) <= len(data)]
+        for k, b in enumerate(c):
+            hit = hit[data[hit + k] == b]
+        for k in range(len(c)):
+            blank[hit + k] = True
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    if marks:
+        begins[1:] |= np.isin(np.arange(256), list(marks))[data[1:]] & _ASCII_LETTER[data[:-1]]
+    if never:
+        begins &= ~np.isin(np.arange(256), list(never))[data]
+    begins[: at[0]] = False
+    begins[at[:-1][at[:-1] < at[1:]]] = True  # a text's beginning
+    cuts = np.append(np.flatnonzero(begins), at[-1]).astype(np.int64)
+    parts = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), raw if raw is not None else pa.py_buffer(b"")])
+    return parts, np.searchsorted(cuts[:-1], at)
