@@ -30,3 +30,11 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files behind a staged frame, in whatever store they lie."""
+    sc = df.sparkSession.sparkContext
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
