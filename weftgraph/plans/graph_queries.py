@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as fx
 from ..operators import graph as G
+from ..operators import selection
 from ..session import read_table
 from .registry import query
 
@@ -166,8 +167,14 @@ def subgraph_filter(spark, d):
     return rows.where("nodes >= 4")
 
 
-@query("greedy_selection")
+@query(
+    "greedy_selection",
+    "WITH RECURSIVE m AS (SELECT l_orderkey AS id, round(avg(l_discount) * 10, 6)::DOUBLE AS score, list(DISTINCT l_partkey) AS members FROM lineitem GROUP BY 1), c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS i FROM m WHERE score >= 0.3), "
+    "g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS ids, []::BIGINT[][] AS sets UNION ALL SELECT c.i, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(sets, members) ELSE sets END FROM (SELECT c.*, g.ids, g.sets, "
+    "NOT list_contains(list_transform(g.sets, lambda s: len(list_intersect(s, c.members)) > 0.1 * len(list_distinct(list_concat(s, c.members)))), true) AS ok FROM g JOIN c ON c.i = g.i + 1 WHERE len(g.ids) < 50) c) "
+    "SELECT generate_subscripts(ids, 1)::INTEGER AS place, unnest(ids) AS subgraph FROM (SELECT ids FROM g ORDER BY i DESC LIMIT 1)",
+)
 def greedy_selection(spark, d):
-    rows = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.avg("l_discount") * 10, 6).alias("score"), F.collect_set("l_partkey").alias("members"), F.collect_set("l_suppkey").alias("evidence"))
-    chosen = G.greedy_selection(rows, 0.3, 0.5, 50)
-    return spark.range(len(chosen)).select((F.col("id") + 1).alias("place"), F.element_at(F.array(*[F.lit(i) for i in chosen]) if chosen else F.array(F.lit(0)), (F.col("id") + 1).cast("int")).alias("subgraph"))
+    """Orders as subgraphs of their parts: 50 by falling score, none sharing more than a tenth with a better one."""
+    rows = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.avg("l_discount") * 10, 6).cast("double").alias("score"), F.collect_set("l_partkey").alias("members"), F.collect_set("l_suppkey").alias("evidence"))
+    return selection.greedy(rows, 0.3, 0.1, 50).select("place", F.col("id").alias("subgraph"))
