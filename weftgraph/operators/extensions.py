@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versions import Versions
+
 
 class Tokenizer(Protocol):
     """What a tokenizer must do (survey 14.5); decode(encode(text)) gives the text again."""
@@ -123,25 +125,29 @@ def store(contract: str, name: str):
 
 @store("graph", "parquet")
 class ParquetGraph:
-    """Nodes and edges as Parquet below a folder, by variant, edges by sorted pair (survey 1.10, 1.23)."""
+    """Nodes and edges as Parquet below a folder, by variant, edges by sorted pair (survey 1.10, 1.23); both change in one version."""
 
     def __init__(self, spark: SparkSession, folder: str, variant: str = "base"):
-        self.spark, self.folder = spark, f"{folder}/variant={variant}"
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
+        self.table = Versions(spark, f"{folder}/variant={variant}", {"nodes": "node string", "edges": "src string, dst string, weight double"})
 
     def nodes(self) -> DataFrame:
-        return self._read("nodes", "node string")
+        return self.table.load("nodes")
 
     def edges(self) -> DataFrame:
-        return self._read("edges", "src string, dst string, weight double")
+        return self.table.load("edges")
+
+    def _edges_once(self, edges: DataFrame) -> DataFrame:
+        return edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Writes the whole graph; of an edge in both directions the greater weight stays."""
-        nodes.distinct().write.mode("overwrite").parquet(f"{self.folder}/nodes")
-        once = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
-        once.write.mode("overwrite").parquet(f"{self.folder}/edges")
+        """Adds to what is stored: a new edge replaces the stored one of its pair; of equal new ones, in either direction, the greatest weight stays."""
+        new, old = self._edges_once(edges), self.edges()
+        kept = old.join(new.select("src", "dst"), ["src", "dst"], "left_anti")
+        self.table.save(nodes=self.nodes().union(nodes.select("node")).distinct(), edges=kept.unionByName(new))
+
+    def delete(self, nodes: DataFrame) -> None:
+        """Removes nodes (node) and all their edges."""
+        gone, edges = nodes.select("node").distinct(), self.edges()
+        for end in ("src", "dst"):
+            edges = edges.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+        self.table.save(nodes=self.nodes().join(gone, "node", "left_anti"), edges=edges.select("src", "dst", "weight"))

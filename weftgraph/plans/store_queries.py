@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as T
+from ..operators import extensions as X
 from ..operators import facts as fx
 from ..operators import hooks
 from ..operators import mutate as M
@@ -38,20 +39,51 @@ def vector_upsert(spark, d):
     """Rows whose id a store lacks are added, stored ones stay (survey 1.20, 1.4)."""
     docs = read_table(spark, d, "documents").select(T.md5_id(F.col("text"), "chunk-").alias("hash_id"), "doc_id").groupBy("hash_id").agg(F.max((F.col("doc_id") % 2 == 0).cast("int")).alias("even"))
     row = lambda old: docs.where("even = 1" if old else "even >= 0").select("hash_id", F.lit("old" if old else "new").alias("content"), F.array(F.lit(1.0)).alias("embedding"))
-    store = formats.EmbeddingStore(spark, _folder(spark, "vectors"), "chunk")
-    store.upsert(row(True))
-    store.upsert(row(False))
-    return store.load().select("hash_id", (F.col("content") == "old").cast("int").alias("was_stored"))
+    folder = _folder(spark, "vectors")
+    formats.EmbeddingStore(spark, folder, "chunk").upsert(row(True))
+    formats.EmbeddingStore(spark, folder, "chunk").upsert(row(False))  # another session's object finds what is stored
+    return formats.EmbeddingStore(spark, folder, "chunk").load().select("hash_id", (F.col("content") == "old").cast("int").alias("was_stored"))
 
 
 @query("vector_delete", "SELECT DISTINCT 'chunk-' || md5(text) AS hash_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)")
 def vector_delete(spark, d):
     """Rows deleted by id from a store (survey 1.5)."""
     docs = read_table(spark, d, "documents").select(T.md5_id(F.col("text"), "chunk-").alias("hash_id"), "doc_id", F.lit("").alias("content"), F.array(F.lit(1.0)).alias("embedding"))
+    folder = _folder(spark, "vectors")
+    formats.EmbeddingStore(spark, folder, "chunk").upsert(docs)
+    formats.EmbeddingStore(spark, folder, "chunk").delete(docs.where("doc_id % 3 = 0"))
+    return formats.EmbeddingStore(spark, folder, "chunk").load().select("hash_id")
+
+
+@query(
+    "embed_missing",
+    "SELECT 'chunk-' || md5(text) AS hash_id, bool_or(doc_id % 2 = 0) AS stored, CASE WHEN bool_or(doc_id % 2 = 0) THEN -1 ELSE length(text) END AS value FROM documents WHERE text IS NOT NULL GROUP BY text",
+)
+def embed_missing(spark, d):
+    """Texts are embedded only where a store lacks them (survey 1.4): stored vectors stay as they were."""
+    docs = read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("content"))
     store = formats.EmbeddingStore(spark, _folder(spark, "vectors"), "chunk")
-    store.upsert(docs)
-    store.delete(docs.where("doc_id % 3 = 0"))
-    return store.load().select("hash_id")
+    embed = lambda value: lambda rows: rows.withColumn("embedding", F.array(value.cast("float")))
+    store.insert_missing(docs.where("doc_id % 2 = 0"), "chunk-", embed(F.lit(-1)))
+    again = formats.EmbeddingStore(spark, store.table.folder.rsplit("/", 1)[0], "chunk")
+    again.insert_missing(docs, "chunk-", embed(F.length("content")))
+    return again.load().select("hash_id", (F.col("embedding")[0] < 0).alias("stored"), F.col("embedding")[0].cast("long").alias("value"))
+
+
+@query(
+    "graph_upsert",
+    "WITH e AS (SELECT least('s' || l_suppkey, 'p' || l_partkey) AS src, greatest('s' || l_suppkey, 'p' || l_partkey) AS dst, l_linestatus AS f, max(l_quantity)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2, 3) "
+    "SELECT src, dst, coalesce(max(weight) FILTER (WHERE f = 'O'), max(weight)) AS weight FROM e WHERE src <> 's1' AND dst <> 's1' GROUP BY src, dst",
+)
+def graph_upsert(spark, d):
+    """A stored graph gets more edges, which replace those of their pairs, and loses a node, each by another object (survey 1.10, 11.22)."""
+    rows = read_table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_quantity").alias("weight"), "l_linestatus")
+    folder = _folder(spark, "graph")
+    for flag in ("F", "O"):
+        edges = rows.where(F.col("l_linestatus") == flag)
+        X.ParquetGraph(spark, folder).upsert(edges.select(F.explode(F.array("src", "dst")).alias("node")), edges)
+    X.ParquetGraph(spark, folder).delete(spark.range(1).select(F.lit("s1").alias("node")))
+    return X.ParquetGraph(spark, folder).edges()
 
 
 @query("rerank_hook", "SELECT o_custkey AS q, o_orderkey AS id, CASE WHEN o_totalprice > 100000 THEN round(o_totalprice / 1000, 3) END AS rerank_score FROM orders")

@@ -2,38 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Versions
+
 OPENIE = "idx string, passage string, extracted_entities array<string>, extracted_triples array<array<string>>"
 VECTORS = "hash_id string, content string, embedding array<float>"
 
 
 class EmbeddingStore:
-    """A table of (hash_id, content, embedding) for a namespace; every save is a new version, the newest is read."""
+    """A table of (hash_id, content, embedding) for a namespace; it is found again by whoever opens the same folder."""
 
     def __init__(self, spark: SparkSession, root: str, namespace: str):
-        self.spark, self.root, self.namespace, self.version = spark, root, namespace, 0
-
-    def _path(self, version: int) -> str:
-        return f"{self.root}/vdb_{self.namespace}/v={version}"
+        self.table = Versions(spark, f"{root}/vdb_{namespace}", {"rows": VECTORS})
 
     def load(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], VECTORS)
-        return self.spark.read.schema(VECTORS).parquet(self._path(self.version))
+        return self.table.load()
 
     def save(self, rows: DataFrame) -> None:
-        rows.select("hash_id", "content", F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(self._path(self.version + 1))
-        self.version += 1
+        self.table.save(rows=rows.select("hash_id", "content", F.col("embedding").cast("array<float>").alias("embedding")))
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows whose id is not stored yet are added."""
         old = self.load()
         self.save(old.unionByName(rows.dropDuplicates(["hash_id"]).join(old.select("hash_id"), "hash_id", "left_anti").select(*old.columns)))
 
-    def delete(self, ids: DataFrame) -> None:
-        self.save(self.load().join(ids.select("hash_id"), "hash_id", "left_anti"))
+    def insert_missing(self, contents: DataFrame, prefix: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Only texts that are not stored are embedded: ``embed`` adds ``embedding`` to (hash_id, content). Returns the new rows."""
+        ids = contents.select(F.concat(F.lit(prefix), F.md5("content")).alias("hash_id"), "content").dropDuplicates(["hash_id"])
+        fresh = ids.join(self.load().select("hash_id"), "hash_id", "left_anti")
+        before = self.load()
+        self.save(before.unionByName(embed(fresh).select(*before.columns)))
+        return self.load().join(before.select("hash_id"), "hash_id", "left_anti")
+
+    def delete(self, ids: DataFrame) -> DataFrame:
+        """Delete by id; returns the ids that were not stored."""
+        old, gone = self.load(), ids.select("hash_id").distinct()
+        self.save(old.join(gone, "hash_id", "left_anti"))
+        return gone.join(old.select("hash_id"), "hash_id", "left_anti")
 
 
 def write_openie(docs: DataFrame, path: str) -> None:
