@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .gather import blank_runs, gathered, offsets_of, slices
+from .gather import blank_runs, gathered, give_back, offsets_of, slices
 from .memo import Memo
 
 #: Bytes of text encoded together, and ids decoded together.
-SLICE = 8 << 20
+SLICE, IDS = 4 << 20, 1 << 19
 #: Parts between white space that are remembered, for each of two generations; about 200 bytes each.
-PARTS = 150_000
+PARTS = 80_000
 
 
 def byte_table() -> dict[int, str]:
@@ -163,6 +163,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
                 if offsets:
                     columns += [_list(x, ends) for x in coder.characters(texts, ids, ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names)
+        give_back()
 
     return rows.mapInArrow(run, ", ".join([kept, *(f"{n} array<int>" for n in names[len(keep) :])]))
 
@@ -179,7 +180,7 @@ def decoded(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = once(_table_of, path)
         for b in batches:
-            for part in slices(b, len(keep), SLICE):
+            for part in slices(b, len(keep), IDS):
                 ids = part.column(len(keep))
                 ends = offsets_of(ids).astype(np.int64)
                 given = ids.flatten()
@@ -191,6 +192,7 @@ def decoded(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
                 data = tokens.buffers()[2]
                 out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), data if data is not None else pa.py_buffer(b"")])
                 yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], [*keep, "ids", "bytes"])
+        give_back()
 
     return rows.mapInArrow(run, schema + ", bytes binary")
 
