@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as fx
 from ..operators import mining as M
+from ..operators import missingness as Q
 from ..session import read_table
 from .registry import query
 
@@ -76,6 +77,21 @@ def missingness_score(spark, d):
     return M.missingness(features, {"edges": 0.05}, -2.0).withColumn("score", F.round("score", 9))
 
 
+def model_input(spark, d):
+    """Orders as subgraphs: suppliers (kind 0) and parts (kind 1) with their numbers in the order, edges both ways by return flag."""
+    rows = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph"), F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"), "l_quantity", "l_discount", (F.locate("R", "l_returnflag") > 0).cast("int").alias("rel"))
+    ends = rows.select("graph", "l_quantity", "l_discount", F.explode(F.array(F.struct(F.col("s").alias("node"), F.lit(0).alias("kind")), F.struct(F.col("p").alias("node"), F.lit(1).alias("kind")))).alias("e"))
+    nodes = ends.groupBy("graph", "e.node", "e.kind").agg(F.array((F.avg("l_quantity") / 50).cast("double"), F.sum("l_discount").cast("double"), F.count(F.lit(1)).cast("double")).alias("x"))
+    edges = rows.select("graph", F.col("s").alias("src"), "rel", F.col("p").alias("dst")).union(rows.select("graph", "p", F.col("rel") + 2, "s"))
+    return nodes, edges
+
+
+@query("missingness_forward")
+def missingness_forward(spark, d):
+    """Probability that an order lacks a fact, by two relational convolutions of weights from outside (survey 11.12); a test holds it against arrays."""
+    return Q.forward(*model_input(spark, d), Q.random_model(3, 16, 2, 4))
+
+
 @query("evidence_batches")
 def evidence_batches(spark, d):
     """Pairs of an order's parts in batches that share chunks (survey 11.19); each choice depends on those before."""
