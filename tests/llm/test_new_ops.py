@@ -246,3 +246,14 @@ def test_blank_runs_are_those_of_the_pattern():
         parts, ends = blank_runs(column)
         for i, t in enumerate(texts):
             assert parts.slice(ends[i], ends[i + 1] - ends[i]).to_pylist() == regex.findall(r"^[^\t-\r \x85\p{Z}]+|[\t-\r \x85\p{Z}]+[^\t-\r \x85\p{Z}]*", t)
+
+
+def test_hosts_of_very_many_labels(spark):
+    from weftgraph.llm import urls
+
+    deep = "http://" + "x." * 500_000
+    rows = [(1, deep + "example.org/en/12"), (2, deep + "win-prize.example.net"), (3, deep + "com"), (4, deep), (5, "http://" + "y" * 1_000_000 + ".org/" + "z/" * 1_000_000), (6, "http://a..org//"), (7, "http://.")]
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"]), len(r["path"])) for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string")).collect()}
+    assert got[1] == ("example.org/en/1", "block", 1_000_011, 6) and got[2] == (None, "block", 1_000_021, 0)
+    assert got[3] == (None, "allow", 1_000_003, 0) and got[4] == (None, "allow", 1_000_000, 0)
+    assert got[5] == ("org/", "allow", 1_000_004, 2_000_001) and got[6][:2] == ("org/", "allow") and got[7][:2] == (None, "allow")

@@ -10,7 +10,7 @@ false positives (a small part of the universe), and is checked against ``MOST_BI
 keys raises, as its bits would be too much to send to every task.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the method's
-verdict, allow; equal rows give equal rows; an empty table gives an empty result; very long urls are judged whole; columns
+verdict, allow; equal rows give equal rows; an empty table gives an empty result; urls are judged whole, whatever the length of the host or the path; columns
 host, path, rule and verdict of the input are replaced, all others kept.
 """
 
@@ -45,10 +45,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every ``host suffix + path prefix`` that a listed key could be, longest host and then path first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, lengths: list[int], most: int) -> Column:
+    """Every ``host suffix + path prefix`` that a listed key could be, longest host and then path first.
+
+    No listed host has more than ``most`` labels, so longer suffixes are no keys: a host of any length has that many at most.
+    """
+    labels = F.least(F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1, F.lit(most))
+    suffixes = F.transform(F.filter(F.array(*[F.lit(n) for n in range(most, 0, -1)]), lambda n: n <= labels), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
     heads = F.filter(F.array(*[F.lit(n) for n in sorted(lengths, reverse=True)]), lambda n: n <= F.length(path))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda n: F.concat(s, F.substring(path, F.lit(1), n)))))
 
@@ -125,9 +128,10 @@ def judge(pages: DataFrame, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame
     lengths = sorted({len(p) for _, _, p in rules} | {1})
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), host.alias("host"), path.alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    most = max(k.split("/")[0].count(".") + 1 for k in [*by_rule, *by_list, ""])
+    keys = candidate_keys(F.col("host"), F.col("path"), lengths, most)
     # a host without a path is as listed as its root
-    keys = F.when(F.col("path") == "", candidate_keys(F.col("host"), F.lit("/"), [1])).otherwise(keys) if by_list else keys
+    keys = F.when(F.col("path") == "", candidate_keys(F.col("host"), F.lit("/"), [1], most)).otherwise(keys) if by_list else keys
     universe = rows.select(F.explode(keys).alias("key"))
     listed = spark.range(1).select(F.explode(F.split(F.lit("\n".join([*by_rule, *by_list])), "\n")).alias("key"))
     levels = build_cascade(universe, listed)
