@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from . import aggregate_queries, completion_queries, context_queries, graph_queries, hook_queries, index_queries, join_queries, lifecycle_queries, mining_queries, mixed_queries, projection_queries, relational_queries, retrieval_queries, scalar_queries, set_queries, source_queries, store_queries, stream_queries, window_queries  # noqa: F401
+    from . import aggregate_queries, completion_queries, context_queries, fuzzy_queries, graph_queries, hook_queries, index_queries, join_queries, lifecycle_queries, mining_queries, mixed_queries, projection_queries, relational_queries, retrieval_queries, scalar_queries, set_queries, source_queries, store_queries, stream_queries, window_queries  # noqa: F401
