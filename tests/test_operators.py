@@ -110,3 +110,15 @@ def test_labels(spark):
     assert rows(graph.label_search(df, "cat"), "label", "score") == [("a cat", 145), ("cat", 1000), ("cats", 500), ("concat", 94)]
 
 
+
+
+def test_collated_pages(spark):
+    labels = ["中", "阿", "北京", "b", "A", "a", "é", "e", "Z", "中文", "a", None]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string")
+    want = ["阿", "北京", "中", "中文", "a", "A", "b", "é", "e", "Z"]  # by the sounds of Han characters, then letters; this order has é before e
+    got, after = [], None
+    for _ in range(6):
+        page = [r[0] for r in graph.collated_page(rows, 2, after).collect()]
+        got += sorted(page, key=want.index)
+        after = max(page, key=want.index) if page else after
+    assert got == want

@@ -178,3 +178,32 @@ def greedy_selection(spark, d):
     """Orders as subgraphs of their parts: 50 by falling score, none sharing more than a tenth with a better one."""
     rows = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.avg("l_discount") * 10, 6).cast("double").alias("score"), F.collect_set("l_partkey").alias("members"), F.collect_set("l_suppkey").alias("evidence"))
     return selection.greedy(rows, 0.3, 0.1, 50).select("place", F.col("id").alias("subgraph"))
+
+
+#: Names of the regions' numbers in Han characters, so that labels are of mixed scripts; fixed values.
+HAN = ("阿", "北", "中", "东", "欧")
+_HAN = ", ".join(f"'{h}'" for h in HAN)
+
+
+@query(
+    "collated_labels",
+    f"WITH l AS (SELECT DISTINCT label FROM (SELECT string_split(text, ' ')[1] AS label FROM documents WHERE text IS NOT NULL UNION ALL SELECT [{_HAN}][n_regionkey % 5 + 1] || n_name FROM nation UNION ALL SELECT n_name FROM nation) WHERE label <> ''), "
+    "p AS (SELECT label, row_number() OVER (ORDER BY label COLLATE zh, label) AS n FROM l) SELECT label, ceil(n / 100)::INTEGER AS page FROM p WHERE n <= 300",
+)
+def collated_labels(spark, d):
+    """Three pages of labels in Chinese order, each found from the last label of the one before (survey 6.12)."""
+    nations = read_table(spark, d, "nation")
+    han = F.element_at(F.array(*[F.lit(h) for h in HAN]), (F.col("n_regionkey") % 5 + 1).cast("int"))
+    words = read_table(spark, d, "documents").where("text IS NOT NULL").select(F.element_at(F.split("text", " "), 1).alias("label"))
+    labels = words.union(nations.select(F.concat(han, "n_name"))).union(nations.select("n_name")).where("label <> ''")
+    out, after = None, None
+    for page in (1, 2, 3):
+        rows = G.staged(G.collated_page(labels, 100, after), "label-page")
+        # a page's last label, in the page's order
+        last = rows.orderBy(F.collate("label", "zh").desc(), F.desc("label")).first()
+        if last is None:
+            break
+        after = last[0]
+        rows = rows.withColumn("page", F.lit(page))
+        out = rows if out is None else out.unionByName(rows)
+    return out
