@@ -1,6 +1,7 @@
 """Steps whose choices depend on those before, and replaceable functions, on fixed cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.operators import extensions, hooks, mining, mutate
 from weftgraph.sources import books
@@ -61,5 +62,22 @@ def test_books_by_rank(spark, tmp_path):
     assert {r["book"] for r in books.load(spark, f"{tmp_path}/all", most=2).collect()} == {"x", "y"}
 
 
-def test_judge_of_odd_answers():
-    assert [hooks.judged(x) for x in (None, "", '["correct", "x"]', '{"same": null, "label": "correct"}', "{'x'} correct")] == [False, False, False, True, False]
+def test_judge_of_odd_answers(spark):
+    cases = [
+        (None, False), ("", False), ('["correct", "x"]', False), ('{"same": null, "label": "correct"}', True), ("{'x'} correct", False), ("Correct!", True), ("in correct", False),
+        ('{"same": 1}', True), ('{"same": -1}', False), ('{"same": " YES "}', True), ('{"same": "no", "label": "correct"}', False), ('{"answer": "maybe", "verdict": "Correct"}', True),
+        ('{"same": true, "same": false}', False), ('```json\n{"equivalent":\ntrue}\n```', True), ('{"same": {"a": 1}}', False), ("uncorrected", False), ("It is correct. Not incorrect.", False), ('{"other": true} correct', False),
+    ]
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string").select("i", hooks.judged(F.col("x")).alias("y"))
+    got = {r["i"]: r["y"] for r in rows.collect()}
+    assert [(x, got[i]) for i, (x, _) in enumerate(cases)] == cases
+
+
+def test_repaired_json(spark):
+    cases = [
+        (None, ""), ('{"a": [1, 2]}', '{"a": [1, 2]}'), ('{"a": [1, 2, {"b": "c', '{"a": [1, 2]}'), ('{"a": "x", "b', '{"a": "x"}'), ('[{"a": "q\\", [", "b": 1}, {"c": 2', '[{"a": "q\\", [", "b": 1}]'),
+        ('{"a": "open', '{"a": "open"}'), ("[1, 2", "[1]"), ('{"a": [1}', '{"a": [1}}'), ("]", "]"), ('{"k": "é, 漢', '{"k": "é"}'), ("word", "word"), ('"a, b', '"a"'),
+    ]
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string").select("i", hooks.repaired_json(F.col("x")).alias("y"))
+    got = {r["i"]: r["y"] for r in rows.collect()}
+    assert [(x, got[i]) for i, (x, _) in enumerate(cases)] == cases

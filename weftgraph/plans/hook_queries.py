@@ -33,8 +33,7 @@ def cached_llm_calls(spark, d):
 def json_repair(spark, d):
     broken = F.concat(F.substring_index("props", "}", 1), F.lit(', "tail": [1, {"x'))
     rows = read_table(spark, d, "events").select("event_id", broken.alias("broken"))
-    fixed = hooks.map_text(rows, "broken", hooks.repaired_json, "fixed", "string")
-    return fixed.select("event_id", F.get_json_object("fixed", "$.k").cast("long").alias("k"))
+    return rows.select("event_id", F.get_json_object(hooks.repaired_json(F.col("broken")), "$.k").cast("long").alias("k"))
 
 
 #: Answers of a judge and what they say.
@@ -49,8 +48,7 @@ _SAID = " ".join(f"WHEN {i} THEN {str(v).lower()}" for i, (_, v) in enumerate(AN
 def judge_parse(spark, d):
     """Verdicts of a judge's answers, of every form that they come in (survey 8.15)."""
     said = F.element_at(F.array(*[F.lit(x) for x, _ in ANSWERS]), (F.col("o_orderkey") % len(ANSWERS) + 1).cast("int"))
-    rows = hooks.map_text(read_table(spark, d, "orders").select("o_orderkey", said.alias("said")), "said", hooks.judged, "correct", "boolean")
-    return rows.select("o_orderkey", "correct")
+    return read_table(spark, d, "orders").select("o_orderkey", hooks.judged(said).alias("correct"))
 
 
 @query("closest_match")
