@@ -81,3 +81,23 @@ def test_repaired_json(spark):
     rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string").select("i", hooks.repaired_json(F.col("x")).alias("y"))
     got = {r["i"]: r["y"] for r in rows.collect()}
     assert [(x, got[i]) for i, (x, _) in enumerate(cases)] == cases
+
+
+def test_corruption_views(spark):
+    members = [("a", x) for x in "abcd"] + [("b", x) for x in "bc"] + [("z", "z")] + [("h", x) for x in "habcdefg"]
+    facts = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("b", "c"), ("x", "a"), ("d", "d")] + [("h", x) for x in "abcdefg"]
+    rows = mining.corruption_views(spark.createDataFrame(members, "root string, node string"), spark.createDataFrame(facts, "src string, dst string"), delete=0.3).collect()
+    views = {}
+    for r in rows:
+        views.setdefault((r["root"], r["view"]), set()).add((r["src"], r["dst"]))
+        assert r["label"] == (r["view"] != "full")
+    assert views["a", "full"] == {("a", "b"), ("a", "c"), ("b", "c"), ("c", "d")} and views["b", "full"] == {("b", "c")}
+    assert views["a", "masked"] < views["a", "full"] and len(views["a", "masked"]) == 3
+    assert ("b", "masked") not in views and ("b", "deleted") not in views and not any(r == "z" for r, _ in views)
+    assert len(views["h", "full"]) == 11 and len(views["h", "masked"]) == 9
+    left = {x for e in views["h", "deleted"] for x in e}
+    assert views["h", "deleted"] == {e for e in views["h", "full"] if set(e) <= left | {"h"}} and len({*"abcdefg"} - left) >= 2
+
+
+def test_root_order_keeps_to_what_is_near():
+    assert mining.root_order([1, 2, 3, 4, 5], {1: {5, 4}, 4: {2}, 2: {1, 9}}) == [1, 4, 2, 3, 5]

@@ -75,13 +75,13 @@ def root_order(roots: list, near: dict, first=None) -> list:
     ``roots`` (shuffled by seed beforehand) and ``near`` are of the size of a budget of roots, not of the graph.
     """
     left = dict.fromkeys(roots)
+    place = {r: i for i, r in enumerate(left)}
     out: list = []
     now = first if first in left else next(iter(left), None)
     while now is not None:
         out.append(now)
         del left[now]
-        close = near.get(now, ())
-        now = next((r for r in left if r in close), next(iter(left), None))
+        now = min((r for r in near.get(now, ()) if r in left), key=place.get, default=next(iter(left), None))
     return out
 
 
@@ -227,6 +227,30 @@ def deletable(members: DataFrame, root, facts: DataFrame, nodes: DataFrame) -> D
     return members.join(nodes.where("node_type = 0"), "node", "left_semi").where(F.col("node") != root).join(ends, "node", "left_semi").select("node")
 
 
+def corruption_views(members: DataFrame, facts: DataFrame, seed: int = 42, mask: float = 0.2, delete: float = 0.08, least: int = 1) -> DataFrame:
+    """(root, view, label, src, dst): the fact edges of each subgraph (root, node) as they are (full, 0), and with parts taken away (1) (survey 11.11).
+
+    Masked views lack a share of the edges, deleted ones a share of the nodes with an edge, but not the root; one at least, chosen by the order of hashes, so
+    that reruns agree. At least ``least`` edges must stay: fewer are masked then, and a deleted view that would have fewer is not given. ``facts``
+    (src, dst) count once in either direction.
+    """
+    ends = [members.select(F.col("root").alias(f"root_{i}"), F.col("node").alias(f"node_{i}")) for i in (0, 1)]
+    once = facts.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    inside = once.join(ends[0], F.col("src") == F.col("node_0")).join(ends[1], (F.col("dst") == F.col("node_1")) & (F.col("root_0") == F.col("root_1")))
+    edges = staged(inside.select(F.col("root_0").alias("root"), "src", "dst").distinct(), "views")
+    by_hash = lambda *c: Window.partitionBy("root").orderBy(F.md5(F.concat_ws("-", F.lit(seed), "root", *c)), *c)
+    of_root = Window.partitionBy("root")
+    quota = lambda n, share: F.greatest(F.lit(1), F.bround(n * share).cast("int"))
+    ranked = edges.withColumn("k", F.row_number().over(by_hash("src", "dst"))).withColumn("n", F.count(F.lit(1)).over(of_root))
+    masked = ranked.where((F.col("n") > least) & (F.col("k") > F.least(F.col("n") - least, quota(F.col("n"), mask)))).select("root", "src", "dst")
+    nodes = edges.select("root", F.explode(F.array("src", "dst")).alias("node")).distinct().where("node <> root")
+    gone = nodes.withColumn("k", F.row_number().over(by_hash("node"))).withColumn("n", F.count(F.lit(1)).over(of_root)).where(F.col("k") <= quota(F.col("n"), delete)).select("root", "node")
+    kept = edges.join(gone.select("root", F.col("node").alias("src")), ["root", "src"], "left_anti").join(gone.select("root", F.col("node").alias("dst")), ["root", "dst"], "left_anti")
+    kept = kept.withColumn("n", F.count(F.lit(1)).over(of_root)).where(F.col("n") >= least)
+    view = lambda df, name, label: df.select("root", F.lit(name).alias("view"), F.lit(label).alias("label"), "src", "dst")
+    return view(edges, "full", 0).unionByName(view(masked, "masked", 1)).unionByName(view(kept, "deleted", 1))
+
+
 def edge_kind(src: Column, dst: Column, weight: Column) -> Column:
     """0 facts between entities (weight 1 or more), 1 synonyms (a fraction below 1), 2 an entity and a chunk, else null (survey 2.9)."""
     entity, chunk = lambda c: c.startswith("entity-"), lambda c: c.startswith("chunk-")

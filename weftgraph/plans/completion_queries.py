@@ -64,3 +64,18 @@ def completed_graph(spark, d):
 @query("completed_triples", f"{_SQL} SELECT s, p, o, chunk FROM hidden")
 def completed_triples(spark, d):
     return completed(spark, d)[1]
+
+
+@query(
+    "corruption_views",
+    f"""WITH fa AS MATERIALIZED (SELECT l_orderkey AS chunk, 'supplier ' || l_suppkey AS s, 'part ' || l_partkey AS o FROM lineitem),
+    m AS MATERIALIZED (SELECT s AS root, o AS node FROM (SELECT s, o, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, o) AS k FROM fa GROUP BY s, o) WHERE k <= {_S.width}),
+    e AS MATERIALIZED (SELECT root, node AS src, root AS dst, row_number() OVER (PARTITION BY root ORDER BY md5('42-' || root || '-' || node || '-' || root), node) AS k, count(*) OVER (PARTITION BY root) AS n FROM m),
+    g AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY md5('42-' || root || '-' || node), node) AS k, count(*) OVER (PARTITION BY root) AS n FROM m),
+    d AS (SELECT root, src, dst, count(*) OVER (PARTITION BY root) AS n FROM e ANTI JOIN (SELECT root, node AS src FROM g WHERE k <= greatest(1, round_even(n * 0.08, 0))) x USING (root, src))
+    SELECT root, 'full' AS view, 0 AS label, src, dst FROM e UNION ALL SELECT root, 'masked', 1, src, dst FROM e WHERE n > 1 AND k > least(n - 1, greatest(1, round_even(n * 0.2, 0))) UNION ALL SELECT root, 'deleted', 1, src, dst FROM d WHERE n >= 1""",
+)
+def corruption_views(spark, d):
+    """Training views of every supplier's subgraph (survey 11.11)."""
+    facts, roots = inputs(spark, d)
+    return mining.corruption_views(C.subgraphs(facts, roots, SETTINGS.width), facts.select(F.col("s").alias("src"), F.col("o").alias("dst")))
