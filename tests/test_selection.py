@@ -43,3 +43,22 @@ def test_a_chain_takes_many_rounds(spark):
 def test_nothing_to_choose(spark):
     assert selection.greedy(frame(spark, []), 0.0, 0.5, 3).count() == 0
     assert selection.greedy(frame(spark, [(1, 0.1, [1], [1])]), 0.5, 0.5, 3).count() == 0
+
+
+@pytest.mark.parametrize("budget", [3, 40, 1000])
+def test_slices_equal_the_walk(spark, budget, monkeypatch):
+    monkeypatch.setattr(selection, "FIRST_SLICE", 4)
+    monkeypatch.setattr(selection, "MOST_SLICE", 200)
+    rng = random.Random(budget)
+    rows = [(i, rng.choice([0.5, 0.6, 0.7, 0.8]), [rng.randrange(60) for _ in range(rng.randrange(0, 6))], [1]) for i in range(300)]
+    got = selection.greedy(frame(spark, rows), 0.3, 0.2, budget).orderBy("place").collect()
+    assert [r["id"] for r in got] == by_force(rows, 0.3, 0.2, budget)
+
+
+def test_a_small_budget_compares_only_the_best(spark, monkeypatch):
+    seen = []
+    own = selection.conflicts
+    monkeypatch.setattr(selection, "conflicts", lambda rows, overlap: seen.append(rows.count()) or own(rows, overlap))
+    rows = [(i, 0.5 + i / 100_000, [i, i + 1], [1]) for i in range(5000)]
+    got = selection.greedy(frame(spark, rows), 0.3, 0.2, 5).orderBy("place").collect()
+    assert [r["id"] for r in got] == [4999, 4997, 4995, 4993, 4991] and max(seen) < 2000

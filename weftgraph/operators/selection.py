@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import drop_staged, staged
 
+#: Candidates of the first slice at least, and of a slice that is still sorted; beyond, all that are left are compared at once.
+FIRST_SLICE, MOST_SLICE = 1024, 1 << 20
+
 
 def _best_of_equal(rows: DataFrame) -> DataFrame:
     """Of sets with the same members only the best can be chosen; empty sets are alike to nothing."""
@@ -43,36 +46,78 @@ def conflicts(rows: DataFrame, overlap: float) -> DataFrame:
     return out
 
 
+def _chosen(rows: DataFrame, overlap: float, budget: int) -> DataFrame:
+    """(id, score) of the sets of ``rows`` (id, score, members) that are chosen; of more than ``budget``, at least the best so many.
+
+    Rounds end when nothing is undecided, or when as many as the budget are chosen above everything undecided.
+    """
+    order = [F.desc("score"), F.asc("id")]
+    rows = staged(_best_of_equal(rows), "selection-rows")
+    edges = conflicts(rows, overlap)
+    open_, chosen = rows.select("id", "score"), None
+    while True:
+        winners = open_.join(edges.select(F.col("worse").alias("id")), "id", "left_anti")
+        won = staged(winners, "selection-won")
+        chosen = won if chosen is None else chosen.unionByName(won)
+        gone = edges.join(won.select(F.col("id").alias("better")), "better", "left_semi").select(F.col("worse").alias("id")).distinct()
+        out = staged(gone.union(won.select("id")), "selection-decided")
+        left = staged(open_.join(out, "id", "left_anti"), "selection-open")
+        kept = edges.join(out.select(F.col("id").alias("better")), "better", "left_anti").join(out.select(F.col("id").alias("worse")), "worse", "left_anti")
+        kept = staged(kept.select("better", "worse"), "selection-conflicts")
+        for df in (edges, out, open_):
+            drop_staged(df)
+        open_, edges = left, kept
+        best = open_.orderBy(*order).first()
+        if best is None:
+            break
+        above = (F.col("score") > best["score"]) | ((F.col("score") == best["score"]) & (F.col("id") < best["id"]))
+        if chosen.where(above).limit(budget).count() >= budget:
+            chosen = chosen.where(above)
+            break
+    out = staged(chosen, "selection-chosen")
+    for df in (open_, edges, chosen):
+        drop_staged(df)
+    return out
+
+
+def _too_alike(rows: DataFrame, chosen: DataFrame, overlap: float) -> DataFrame:
+    """(id) of ``rows`` that are more alike to a set of ``chosen`` than ``overlap``; both have (id, members)."""
+    a = rows.select("id", F.size("members").alias("n"), F.explode("members").alias("m"))
+    b = chosen.select(F.col("id").alias("c"), F.size("members").alias("k"), F.explode("members").alias("m_"))
+    shared = a.join(b, F.col("m") == F.col("m_")).groupBy("id", "c", "n", "k").agg(F.count(F.lit(1)).alias("x"))
+    return shared.where(F.col("x") > overlap * (F.col("n") + F.col("k") - F.col("x"))).select("id").distinct()
+
+
 def greedy(candidates: DataFrame, threshold: float, overlap: float, budget: int) -> DataFrame:
     """(place, id, score) of at most ``budget`` of (id, score, members, evidence), best score first, equal scores by id.
 
     A candidate needs a score of at least ``threshold`` and some evidence, and must not be more alike to a chosen one than ``overlap``.
-    Rounds end when nothing is undecided, or when as many as the budget are chosen above everything undecided.
+    What is chosen depends on better sets only, so candidates are compared slice by slice from the best, each slice four times the one before
+    and without the sets that are too alike to those chosen above it, until the budget is full or no candidate is left.
     """
     fit = candidates.where((F.col("score") >= threshold) & (F.size("evidence") > 0)).select("id", "score", F.array_sort(F.array_distinct(F.coalesce("members", F.array()))).alias("members"))
     order = [F.desc("score"), F.asc("id")]
-    if overlap < 1:
-        rows = staged(_best_of_equal(fit), "selection-rows")
-        edges = conflicts(rows, overlap)
-        open_, chosen = rows.select("id", "score"), None
-        while True:
-            winners = open_.join(edges.select(F.col("worse").alias("id")), "id", "left_anti")
-            won = staged(winners, "selection-won")
-            chosen = won if chosen is None else chosen.unionByName(won)
-            gone = edges.join(won.select(F.col("id").alias("better")), "better", "left_semi").select(F.col("worse").alias("id")).distinct()
-            out = staged(gone.union(won.select("id")), "selection-decided")
-            left = staged(open_.join(out, "id", "left_anti"), "selection-open")
-            kept = edges.join(out.select(F.col("id").alias("better")), "better", "left_anti").join(out.select(F.col("id").alias("worse")), "worse", "left_anti")
-            kept = staged(kept.select("better", "worse"), "selection-conflicts")
-            for df in (edges, out, *([open_] if "selection-open" in "".join(open_.inputFiles()[:1]) else [])):
-                drop_staged(df)
-            open_, edges = left, kept
-            best = open_.orderBy(*order).first()
-            if best is None:
+    if overlap >= 1:
+        chosen = fit.select("id", "score")
+    else:
+        fit = staged(fit, "selection-fit")
+        rest, chosen, found, size = fit, None, 0, max(FIRST_SLICE, 4 * budget)
+        while found < budget:
+            part = staged(rest.orderBy(*order).limit(size) if size <= MOST_SLICE else rest, "selection-slice")
+            last = part.orderBy(F.asc("score"), F.desc("id")).first()
+            if last is None:
+                drop_staged(part)
                 break
-            above = (F.col("score") > best["score"]) | ((F.col("score") == best["score"]) & (F.col("id") < best["id"]))
-            if chosen.where(above).limit(budget).count() >= budget:
+            won = _chosen(part, overlap, budget - found)
+            with_members = staged(part.join(won.select("id"), "id", "left_semi"), "selection-chosen")
+            drop_staged(part)
+            drop_staged(won)
+            chosen = with_members if chosen is None else chosen.unionByName(with_members)
+            found += with_members.count()
+            if size > MOST_SLICE:
                 break
-    else:
-        chosen = fit.select("id", "score")
+            below = fit.where((F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"])))
+            rest, size = below.join(_too_alike(below, chosen, overlap), "id", "left_anti"), 4 * size
+        drop_staged(fit)
+        chosen = fit.sparkSession.createDataFrame([], fit.schema) if chosen is None else chosen
     return chosen.orderBy(*order).limit(budget).select(F.row_number().over(Window.orderBy(*order)).alias("place"), "id", "score")
