@@ -56,3 +56,9 @@ def test_an_empty_graph(spark, tmp_path):
     facts, roots = small(spark)
     graph, hidden, _ = C.complete(facts.limit(0), roots.limit(0), str(tmp_path), Q.score, Q.ask)
     assert graph.count() == 0 and hidden.count() == 0
+
+
+def test_print_of_a_graph_with_many_facts(spark):
+    facts = spark.range(20_000_000, numPartitions=4).select(F.lit("s").alias("s"), F.lit("p").alias("p"), F.lit("o").alias("o"), F.col("id").alias("chunk"))
+    got = C.graph_print(facts)
+    assert got["facts"] == 20_000_000 and got["print"][1] > 1 << 63

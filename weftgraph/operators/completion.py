@@ -49,8 +49,8 @@ class StagedJob:
 
 def graph_print(facts: DataFrame) -> dict:
     """What tells one graph from another, whatever the order of its rows."""
-    row = facts.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("s", "p", "o", "chunk")).alias("x"), F.sum(F.pmod(F.xxhash64("chunk", "o", "p", "s"), F.lit(1 << 40))).alias("y")).first()
-    return {"facts": row["n"], "print": [row["x"], row["y"]]}
+    row = facts.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("s", "p", "o", "chunk")).alias("x"), F.sum(F.pmod(F.xxhash64("chunk", "o", "p", "s"), F.lit(1 << 40)).cast("decimal(20,0)")).alias("y")).first()
+    return {"facts": row["n"], "print": [row["x"], None if row["y"] is None else int(row["y"])]}  # a sum of longs would overflow from 16 million facts
 
 
 def subgraphs(facts: DataFrame, roots: DataFrame, width: int) -> DataFrame:
