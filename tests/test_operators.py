@@ -122,3 +122,14 @@ def test_collated_pages(spark):
         got += sorted(page, key=want.index)
         after = max(page, key=want.index) if page else after
     assert got == want
+
+
+def test_mean_places_of_ties_over_many_ranges(spark):
+    from weftgraph.operators import ranking
+
+    values = [("a", i % 13) for i in range(200)] + [("b", i % 7) for i in range(50)] + [("b", None), (None, 3), (None, 3)]
+    got = {(r["g"], r["x"]): r["place"] for r in ranking.mean_places(spark.createDataFrame(values, "g string, x int"), "g", "x", "place").collect()}
+    for g, x in set(values):
+        mine = sorted((v for k, v in values if k == g), key=lambda v: (v is not None, v or 0))
+        places = [i + 1 for i, v in enumerate(mine) if v == x]
+        assert got[g, x] == sum(places) / len(places)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def min_max(value: Column, over, constant: float = 1.0) -> Column:
     """(x - least) / range within a window; ``constant`` where all values are equal."""
@@ -47,3 +49,19 @@ def covered(intervals: DataFrame, by: list[str], start: str, end: str) -> DataFr
     line = Window.partitionBy(*by).orderBy("at")
     events = events.withColumn("open", F.sum("d").over(line)).withColumn("next", F.lead("at").over(line))
     return events.groupBy(*by).agg(F.sum(F.when(F.col("open") > 0, F.col("next") - F.col("at")).otherwise(0)).alias("covered"))
+
+
+def mean_places(rows: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """(``by``, ``value``, ``out``): the mean place of a value's rows in the order of values within ``by``.
+
+    Values are counted and dealt by ranges; places go on from the counts of the ranges before, so no group is sorted in one task.
+    """
+    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n_")).repartitionByRange(by, value).withColumn("range_", F.spark_partition_id())
+    counts = staged(counts, "places")
+    # a row a range and group
+    totals = counts.groupBy(F.col(by).alias("by_"), F.col("range_").alias("r_")).agg(F.sum("n_").alias("t_"))
+    before = F.coalesce(F.sum("t_").over(Window.partitionBy("by_").orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = F.broadcast(totals.select("by_", "r_", before.alias("before_")))
+    within = F.coalesce(F.sum("n_").over(Window.partitionBy(by, "range_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("within_", within).join(totals, F.col(by).eqNullSafe(F.col("by_")) & (F.col("range_") == F.col("r_")))
+    return placed.select(by, value, (F.col("before_") + F.col("within_") + (F.col("n_") + 1) / 2).alias(out))

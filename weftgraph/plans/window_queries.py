@@ -97,9 +97,9 @@ def multi_answer_rank(spark, d):
 @query("spearman", "SELECT l_returnflag, round(corr(a, b), 6) AS rho FROM (SELECT l_returnflag, avg(x) OVER (PARTITION BY l_returnflag, l_quantity) AS a, avg(y) OVER (PARTITION BY l_returnflag, l_extendedprice) AS b FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS y FROM lineitem)) GROUP BY l_returnflag")
 def spearman(spark, d):
     rows = read_table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    by = lambda c: Window.partitionBy("l_returnflag").orderBy(c)
-    rows = rows.withColumn("x", F.row_number().over(by("l_quantity"))).withColumn("y", F.row_number().over(by("l_extendedprice")))
-    rows = rows.withColumn("a", F.avg("x").over(Window.partitionBy("l_returnflag", "l_quantity"))).withColumn("b", F.avg("y").over(Window.partitionBy("l_returnflag", "l_extendedprice")))
+    for c, place in (("l_quantity", "a"), ("l_extendedprice", "b")):
+        ranks = R.mean_places(rows, "l_returnflag", c, place).select(F.col("l_returnflag").alias("f"), F.col(c).alias("c"), place)
+        rows = rows.join(ranks, F.col("l_returnflag").eqNullSafe(F.col("f")) & F.col(c).eqNullSafe(F.col("c"))).drop("f", "c")
     return rows.groupBy("l_returnflag").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
 
 
