@@ -133,3 +133,18 @@ def test_mean_places_of_ties_over_many_ranges(spark):
         mine = sorted((v for k, v in values if k == g), key=lambda v: (v is not None, v or 0))
         places = [i + 1 for i, v in enumerate(mine) if v == x]
         assert got[g, x] == sum(places) / len(places)
+
+
+def test_best_of_rows_is_the_stable_sort():
+    import numpy as np
+
+    from weftgraph.operators import vector
+
+    score = np.round(np.random.default_rng(5).uniform(-1, 1, (40, 60)), 1)
+    score[3] = 0.5
+    for take in (1, 7, 60):
+        for threshold in (-1.0, 0.4):
+            rows, columns = vector.best_of_rows(score, take, threshold)
+            at = np.argsort(-score, axis=1, kind="stable")[:, :take]
+            want = [(i, j) for i in range(40) for j in at[i].tolist() if score[i, j] >= threshold]
+            assert list(zip(rows.tolist(), columns.tolist())) == want

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_staged, shared_dir, staged
+from .vector import best_of_rows
 
 #: Vectors of the sample, its queries for measuring recall, most lists, rounds of fitting.
 SAMPLE, TRIED, MOST_LISTS, FIT_ROUNDS = 20_000, 400, 4096, 8
@@ -144,11 +145,8 @@ class VectorIndex:
             keys = keys.sort_by("vec_id")
             a, b = (unit(np.stack(t.column("embedding").combine_chunks().to_numpy(zero_copy_only=False))) for t in (q, keys))
             score = np.round(a @ b.T, 9)
-            take = min(k, keys.num_rows)
-            at = np.argsort(-score, axis=1, kind="stable")[:, :take]
-            value = np.take_along_axis(score, at, axis=1)
-            rows, columns = np.nonzero(value >= threshold)
-            return pa.table([q.column("vec_id").take(pa.array(rows)), keys.column("vec_id").take(pa.array(at[rows, columns])), pa.array(value[rows, columns])], names=names)
+            rows, columns = best_of_rows(score, min(k, keys.num_rows), threshold)
+            return pa.table([q.column("vec_id").take(pa.array(rows)), keys.column("vec_id").take(pa.array(columns)), pa.array(score[rows, columns])], names=names)
 
         found = left.groupBy("list", "qp", "kp").cogroup(right.groupBy("l", "q", "p")).applyInArrow(best, f"query_id {kind}, key_id {kind}, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")

@@ -25,6 +25,18 @@ def top_k(rows: DataFrame, vector: list[float], k: int, threshold: float | None
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
 
 
+def best_of_rows(score: np.ndarray, take: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's ``take`` greatest scores of at least ``threshold``, equal ones by column; no row is sorted whole."""
+    there = score >= threshold
+    if take < score.shape[1] and there.sum(axis=1).max(initial=0) > take:
+        there &= score >= -np.partition(-score, take - 1, axis=1)[:, take - 1 : take]
+    rows, columns = np.nonzero(there)
+    order = np.lexsort((columns, -score[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
+    return rows[keep], columns[keep]
+
+
 def knn(queries: DataFrame, keys: DataFrame, k: int, threshold: float = -1.0, blocks: int | None = None) -> DataFrame:
     """(query_id, key_id, score, rank): the k keys of the greatest cosine for each query.
 
@@ -53,12 +65,8 @@ def knn(queries: DataFrame, keys: DataFrame, k: int, threshold: float = -1.0, bl
         order = np.argsort(key_ids, kind="stable")
         key_ids, keys_ = key_ids[order], v[~is_query][order]
         score = np.round(v[is_query] @ keys_.T, 9)
-        take = min(k, len(key_ids))
-        # stable, so that equal scores keep the order of ids
-        at = np.argsort(-score, axis=1, kind="stable")[:, :take]
-        value = np.take_along_axis(score, at, axis=1)
-        keep = (value >= threshold).ravel()
-        return pa.table({"query_id": np.repeat(ids[is_query], take)[keep], "key_id": key_ids[at].ravel()[keep], "score": value.ravel()[keep]})
+        rows, columns = best_of_rows(score, min(k, len(key_ids)), threshold)
+        return pa.table({"query_id": ids[is_query][rows], "key_id": key_ids[columns], "score": score[rows, columns]})
 
     found = both.groupBy("q", "k").applyInArrow(best, "query_id bigint, key_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
