@@ -87,3 +87,31 @@ def test_candidates(spark):
     observed = spark.createDataFrame([(4, 3)], "a int, b int")
     got = [(r["a"], r["b"], round(r["score"], 6)) for r in ann.candidate_pairs(near, bad, observed, 0.98, 2).collect()]
     assert got == [(1, 2, round(1 / (1 + np.exp(-0.9)), 6)), (4, 6, round(1 / (1 + np.exp(-0.5)), 6))]
+
+
+def test_a_query_gets_its_best_once_a_bin(spark, tmp_path):
+    rows = frame(spark, np.random.default_rng(3).normal(size=(900, 8)).astype(np.float32))
+    index = ann.VectorIndex.build(rows, str(tmp_path / "i"), lists=30)
+    first, many = index._bins({r["list"]: r["count"] for r in index.vectors().groupBy("list").count().collect()}, 1024)
+    assert set(many.tolist()) == {1} and set(first.tolist()) == {0}  # 30 lists, one bin
+    few, all_ = pairs(index.search(rows, 5, probes=3).collect()), pairs(index.search(rows, 5, probes=30).collect())
+    assert all_ == pairs(vector.knn(rows, rows, 5).collect()) and few != all_
+    # three probes see only these lists: what an exact search over them gives
+    near = {r["vec_id"]: set(r["lists"]) for r in index._nearest(rows, 3).collect()}
+    list_of = {r["vec_id"]: r["list"] for r in index.vectors().collect()}
+    whole = pairs(vector.knn(rows, rows, 900).collect())
+    assert few == {q: [x for x in found if list_of[x[0]] in near[q]][:5] for q, found in whole.items()}
+
+
+def test_best_candidates_of_many_ranges(spark):
+    rng = np.random.default_rng(4)
+    near = [(int(a), int(b), round(float(s), 2)) for a, b, s in zip(rng.integers(0, 90, 700), rng.integers(0, 90, 700), rng.random(700), strict=True)]
+    none = spark.createDataFrame([], "id int"), spark.createDataFrame([], "a int, b int")
+    best = {}
+    for a, b, s in near:
+        if a != b and s < 0.98:
+            best[min(a, b), max(a, b)] = max(s, best.get((min(a, b), max(a, b)), 0))
+    want = sorted(best, key=lambda p: (-best[p], p))[:250]
+    plan = ann.candidate_pairs(spark.createDataFrame(near, "query_id int, key_id int, score double"), *none, 0.98, 250)
+    assert {(r["a"], r["b"]) for r in plan.collect()} == set(want)
+    assert "TakeOrdered" not in plan._jdf.queryExecution().toString()  # no task holds them all

@@ -3,8 +3,9 @@
 Centroids of unit length are fitted on a bounded sample; every vector goes to the list of its nearest centroid, which is a partition of the
 table. A query looks into the lists of its nearest centroids (probes) and scores their vectors exactly. How many
 probes are needed for the wanted recall is measured on the sample when the index is built, so it follows the data: few for clustered vectors, many
-for spread ones. All lists as probes give the exact result. Lists and the queries that look into them are dealt into parts of bounded size,
-so neither a list with a third of all vectors nor one that all queries ask for is one task.
+for spread ones. All lists as probes give the exact result. A search puts lists together into bins of bounded size, splits larger ones, and deals the
+queries of a bin into parts, so neither a list with a third of all vectors nor one that all queries ask for is one task; a query is sent once to a bin
+and gets back its best of the bin, however many of the bin's lists it probes.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .vector import best_of_rows
 SAMPLE, TRIED, MOST_LISTS, FIT_ROUNDS = 20_000, 400, 4096, 8
 #: Neighbours for which recall is measured, and its least value.
 NEIGHBOURS, RECALL = 10, 0.95
-#: Vectors, or queries, of a part of a list.
-PART = 2048
+#: Most vectors of a bin of lists, or queries of a part; fewer, but not below LEAST, where they would make less than PARTS bins or parts.
+PART, LEAST, PARTS = 16_384, 1024, 8
+#: Scores that a task holds at once.
+CELLS = 1 << 22
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -122,21 +125,64 @@ class VectorIndex:
         kind = rows.schema["vec_id"].dataType.simpleString()
         return rows.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, embedding array<float>, lists array<int>")
 
+    def _bins(self, counts: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each list's first bin and its number of bins, 0 for one without vectors; lists of at most ``size`` vectors share bins."""
+        first, many = np.zeros(len(self.centroids) or 1, np.int32), np.zeros(len(self.centroids) or 1, np.int32)
+        at, room = -1, 0
+        # lists in the direction of the first one come together, which lets the probes of a query fall into fewer bins
+        toward = self.centroids @ self.centroids[0] if len(self.centroids) else np.zeros(1)
+        for name in sorted(counts, key=lambda c: (-toward[c], c)):
+            n = -(-counts[name] // size)
+            if n > 1 or counts[name] > room:
+                first[name], at, room = at + 1, at + n, size - counts[name] if n == 1 else 0
+            else:
+                first[name], room = at, room - counts[name]
+            many[name] = n
+        return first, many
+
+    @staticmethod
+    def _sent(asked: DataFrame, first: np.ndarray, many: np.ndarray) -> DataFrame:
+        """(vec_id, embedding, bin, lists): a row for each bin that has lists of the query, with these; lists are null where all are wanted."""
+        kind, bins = asked.schema["vec_id"].dataType.simpleString(), int((first + many).max(initial=0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, lists = b.num_rows, b.column("lists")
+                if lists.null_count:
+                    row, bin_ = np.repeat(np.arange(n), bins), np.tile(np.arange(bins), n)
+                    kept = pa.nulls(len(row), pa.list_(pa.int32()))
+                else:
+                    names = lists.flatten().to_numpy()
+                    row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+                    times = many[names]
+                    row, names = np.repeat(row, times), np.repeat(names, times)
+                    bin_ = first[names] + np.arange(len(names)) - np.repeat(np.cumsum(times) - times, times)
+                    order = np.lexsort((bin_, row))
+                    row, bin_, names = row[order], bin_[order], names[order]
+                    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bin_[1:] != bin_[:-1])]) if len(row) else np.zeros(0, int)
+                    kept = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(names.astype(np.int32)))
+                    row, bin_ = row[starts], bin_[starts]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("embedding").take(at), pa.array(bin_.astype(np.int32)), kept], ["vec_id", "embedding", "bin", "lists"])
+
+        return asked.select("vec_id", "embedding", "lists").mapInArrow(run, f"vec_id {kind}, embedding array<float>, bin int, lists array<int>")
+
     def search(self, queries: DataFrame, k: int, probes: int | None = None, threshold: float = -1.0) -> DataFrame:
         """(query_id, key_id, score, rank): the k vectors of the greatest cosine in the lists probed; equal scores go by key."""
         kind = queries.schema["vec_id"].dataType.simpleString()
-        asked = staged(self._nearest(usable(queries), probes or self.probes).select("vec_id", "embedding", F.explode("lists").alias("list")), "ann-queries")
-        keys = self.vectors()
-        # a row a list, at most MOST_LISTS
-        parts = asked.groupBy("list").agg(F.count(F.lit(1)).alias("n_q")).join(keys.groupBy("list").agg(F.count(F.lit(1)).alias("n_k")), "list")
-        parts = F.broadcast(parts.select("list", F.ceil(F.col("n_q") / PART).cast("int").alias("q_parts"), F.ceil(F.col("n_k") / PART).cast("int").alias("k_parts")))
-
-        def side(df: DataFrame, own: str, other: str) -> DataFrame:
-            dealt = df.join(parts, "list").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col(f"{own}_parts")).cast("int"))
-            return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
-
-        left = side(asked, "q", "k").select("list", F.col("own").alias("qp"), F.col("other").alias("kp"), "vec_id", "embedding")
-        right = side(keys, "k", "q").select(F.col("list").alias("l"), F.col("other").alias("q"), F.col("own").alias("p"), "vec_id", "embedding")
+        keys, probes = self.vectors(), probes or self.probes
+        every = probes >= len(self.centroids)
+        asked = staged(usable(queries).withColumn("lists", F.lit(None).cast("array<int>")) if every else self._nearest(usable(queries), probes), "ann-queries")
+        size = lambda n: min(PART, max(LEAST, -(-n // PARTS)))
+        # a row a list, at most MOST_LISTS; then a row a bin, which are fewer but for split lists
+        counts = {r["list"]: r["n"] for r in keys.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+        first, many = self._bins(counts, size(sum(counts.values())))
+        of_list = F.broadcast(self.spark.createDataFrame([(c, int(first[c]), int(many[c])) for c in counts], "list int, first int, many int"))
+        sent, part = self._sent(asked, first, many), size(asked.count())
+        parts = F.broadcast(staged(sent.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")), "ann-parts"))
+        left = sent.join(parts, "bin").select("bin", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "embedding", "lists")
+        dealt = keys.join(of_list, "list").withColumn("bin", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many")).cast("int")).join(parts, "bin")
+        right = dealt.select(F.col("bin").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "vec_id", "embedding", "list")
 
         def best(q: pa.Table, keys: pa.Table) -> pa.Table:
             names = ["query_id", "key_id", "score"]
@@ -144,11 +190,25 @@ class VectorIndex:
                 return pa.table([q.column("vec_id").slice(0, 0), q.column("vec_id").slice(0, 0), pa.array([], pa.float64())], names=names)
             keys = keys.sort_by("vec_id")
             a, b = (unit(np.stack(t.column("embedding").combine_chunks().to_numpy(zero_copy_only=False))) for t in (q, keys))
-            score = np.round(a @ b.T, 9)
-            rows, columns = best_of_rows(score, min(k, keys.num_rows), threshold)
-            return pa.table([q.column("vec_id").take(pa.array(rows)), keys.column("vec_id").take(pa.array(columns)), pa.array(score[rows, columns])], names=names)
-
-        found = left.groupBy("list", "qp", "kp").cogroup(right.groupBy("l", "q", "p")).applyInArrow(best, f"query_id {kind}, key_id {kind}, score double")
+            here, list_of = np.unique(keys.column("list").to_numpy(), return_inverse=True)
+            lists, out = q.column("lists").combine_chunks(), []
+            step = max(1, CELLS // len(b))
+            for i in range(0, len(a), step):
+                score = np.round(a[i : i + step] @ b.T, 9)
+                some = lists.slice(i, step)
+                if not some.null_count:
+                    wanted = np.zeros((len(score), len(here)), bool)
+                    asked_of = some.flatten().to_numpy()
+                    row, at = np.repeat(np.arange(len(score)), some.value_lengths().to_numpy()), np.minimum(np.searchsorted(here, asked_of), len(here) - 1)
+                    there = here[at] == asked_of
+                    wanted[row[there], at[there]] = True
+                    score[~wanted[:, list_of]] = -np.inf
+                rows, columns = best_of_rows(score, min(k, keys.num_rows), threshold)
+                out.append((rows + i, columns, score[rows, columns]))
+            rows, columns, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.table([q.column("vec_id").take(pa.array(rows)), keys.column("vec_id").take(pa.array(columns)), pa.array(score)], names=names)
+
+        found = left.groupBy("bin", "part").cogroup(right.groupBy("b", "p")).applyInArrow(best, f"query_id {kind}, key_id {kind}, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
         out = staged(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-found")
         drop_staged(asked)
@@ -180,5 +240,16 @@ def candidate_pairs(near: DataFrame, bad: DataFrame, observed: DataFrame, alike:
     known = observed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(bad.select(F.col("id").alias(end)), end, "left_anti")
-    best = pairs.join(known, ["a", "b"], "left_anti").orderBy(F.desc("cosine"), "a", "b").limit(most)
-    return best.select("a", "b", (1 / (1 + F.exp(-F.col("cosine")))).alias("score"))
+    left = staged(pairs.join(known, ["a", "b"], "left_anti").select("a", "b", "cosine"), "ann-pairs")
+    if left.count() > most:
+        # ranges in order, each sorted by itself; the ones before a range say where its places begin
+        sorted_ = left.orderBy(F.desc("cosine"), "a", "b").withColumn("n", F.monotonically_increasing_id())
+        sorted_ = staged(sorted_.select("a", "b", "cosine", F.shiftright("n", 33).alias("range"), F.col("n").bitwiseAND((1 << 33) - 1).alias("place")), "ann-order")
+        sizes = sorted(sorted_.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+        before, at = [], 0
+        for r in sizes:
+            before.append((r["range"], at))
+            at += r["n"]
+        before = F.broadcast(left.sparkSession.createDataFrame(before, "range long, before long"))
+        left = sorted_.join(before, "range").where(F.col("before") + F.col("place") < most)
+    return left.select("a", "b", (1 / (1 + F.exp(-F.col("cosine")))).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ann, vector
-from ..session import read_table
+from ..session import read_table, staged
 from .registry import query
 
 #: Neighbours asked for candidates, from how alike a pair is a copy, and candidates by observed pair.
@@ -51,6 +51,7 @@ def candidate_pairs(spark, d):
     """Entity pairs that may hide a relation: neighbours without nodes of bad names, pairs already seen, and copies."""
     rows = _vectors(spark, d)
     seen = read_table(spark, d, "lineitem").select(F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).distinct()
+    seen = staged(seen, "index-observed")
     bad = read_table(spark, d, "part").where("p_size <= 2").select(F.col("p_partkey").alias("id"))
     most = -(-seen.count() * int(SHARE * 10) // 10)
     near = ann.neighbours_by_index(rows, rows, ASKED, probes=ann.MOST_LISTS)
