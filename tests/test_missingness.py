@@ -63,3 +63,19 @@ def test_too_many_weights(spark, monkeypatch):
     nodes = spark.createDataFrame([], "graph string, node int, kind int, x array<double>")
     with pytest.raises(ValueError):
         Q.forward(nodes, spark.createDataFrame([], "graph string, src int, rel int, dst int"), Q.random_model(2, 4, 2, 2))
+
+
+def test_small_subgraphs_stay_whole_and_large_ones_are_spread(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    nodes = [(g, f"n{i}", int(rng.integers(2)), rng.normal(size=2).tolist()) for g, n in ((1, 3), (2, 60), (3, 1), (None, 2)) for i in range(n)]
+    edges = [(g, f"n{rng.integers(n)}", int(rng.integers(2)), f"n{rng.integers(n + 1)}") for g, n in ((1, 3), (2, 60), (4, 5)) for _ in range(4 * n)] + [(1, None, 0, "n1")]
+    m = Q.random_model(2, 4, 2, 2)
+    frames = spark.createDataFrame(nodes, "graph int, node string, kind int, x array<double>"), spark.createDataFrame(edges, "graph int, src string, rel int, dst string")
+    want = by_force(nodes, edges, m)
+    spread, seen = Q._spread, []
+    monkeypatch.setattr(Q, "_spread", lambda n, e, m: seen.append({r["graph"] for r in n.collect()}) or spread(n, e, m))
+    for limit, alone in ((1 << 22, []), (400, [{2}])):  # states of 4 numbers: over 50 rows are many
+        monkeypatch.setattr(Q, "BUCKET", limit)
+        seen.clear()
+        got = {r["graph"]: r["score"] for r in Q.forward(*frames, m).collect()}
+        assert seen == alone and set(got) == set(want) and all(abs(got[g] - want[g]) < 1e-12 for g in want)
