@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import extensions, hooks, mining, mutate
+from weftgraph.plans import registry
 from weftgraph.sources import books
 
+registry.load()
+
 
 def test_evidence_batches(spark):
     rows = [("r", 1, 1, ["a", "b"]), ("r", 2, 2, ["c", "d"]), ("r", 3, 3, ["b", "e"]), ("r", 4, 4, ["x", "y", "z"]), ("r", 5, 5, ["c", "a"]), ("q", 6, 1, ["a"]), ("r", 7, 6, ["a", "b", "c", "d", "e"])]
@@ -101,3 +104,13 @@ def test_corruption_views(spark):
 
 def test_root_order_keeps_to_what_is_near():
     assert mining.root_order([1, 2, 3, 4, 5], {1: {5, 4}, 4: {2}, 2: {1, 9}}) == [1, 4, 2, 3, 5]
+
+
+
+
+def test_easy_edges_go_in_one_aggregation(spark, tmp_path):
+    lines = [(1, 1, 50.0), (1, 1, 3.0), (1, 2, 45.0), (1, 2, 1.0), (2, 2, None), (None, 3, 46.0)]
+    spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["remove_easy_edges"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 2), (2, 2, 1), (None, 3, 1)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
