@@ -107,6 +107,16 @@ def test_root_order_keeps_to_what_is_near():
 
 
 
+def test_walks_send_no_edges_in_a_step(spark, monkeypatch):
+    from weftgraph.operators import graph
+
+    plans, own = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, tag))
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0)], "src string, dst string, weight double")
+    assert graph.random_walks(edges, spark.createDataFrame([("a",)], "node string"), 2, 3).count() == 8
+    assert len(plans) == 3 and not any("hashpartitioning(src" in p for p in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("walks_")]
+
 
 def test_easy_edges_go_in_one_aggregation(spark, tmp_path):
     lines = [(1, 1, 50.0), (1, 1, 3.0), (1, 2, 45.0), (1, 2, 1.0), (2, 2, None), (None, 3, 46.0)]
