@@ -124,3 +124,11 @@ def test_easy_edges_go_in_one_aggregation(spark, tmp_path):
     got = registry.QUERIES["remove_easy_edges"](spark, str(tmp_path))
     assert {tuple(r) for r in got.collect()} == {(1, 2, 2), (2, 2, 1), (None, 3, 1)}
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidate_words_once_a_text(spark, tmp_path):
+    texts = [(1, "Word word  WORD, 12 a1-b2 \u212a9 \u00e9t\u00e9\nx"), (2, None), (3, " ,;"), (4, "")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["candidate_entity_filter"](spark, str(tmp_path))
+    assert {r["entity"] for r in got.collect()} == {"word", "a1", "b2", "k9"}
+    assert "array_distinct" in got._jdf.queryExecution().toString()

@@ -124,7 +124,8 @@ def truncate_identifier(spark, d):
     "SELECT DISTINCT w AS entity FROM (SELECT unnest(string_split_regex(trim(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g')), ' +')) AS w FROM documents) WHERE length(w) > 1 AND NOT regexp_full_match(w, '[0-9]+')",
 )
 def candidate_entity_filter(spark, d):
-    words = _docs(spark, d).select(F.explode(F.split(T.phrase(F.col("text")), " +")).alias("entity")).distinct()
+    """A text's words go through one split, and each once to the rows."""
+    words = _docs(spark, d).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("entity")).distinct()
     return words.where(extraction.is_candidate(F.col("entity")))
 
 
