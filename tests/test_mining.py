@@ -106,6 +106,17 @@ def test_root_order_keeps_to_what_is_near():
     assert mining.root_order([1, 2, 3, 4, 5], {1: {5, 4}, 4: {2}, 2: {1, 9}}) == [1, 4, 2, 3, 5]
 
 
+def test_entity_hops_of_few_and_of_many_nodes(spark, monkeypatch):
+    from weftgraph.operators import mining as M
+
+    edges = [("a", "c1"), ("b", "c1"), ("b", "c2"), ("d", "c2"), ("d", "c3"), ("d", "c3"), ("e", "c3"), ("b", "gone")]
+    nodes = spark.createDataFrame([(n, 0) for n in "abde"] + [(f"c{i}", 1) for i in (1, 2, 3)], "node string, node_type int")
+    frames = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a",)], "node string"), nodes
+    want = [("a", 0), ("b", 1), ("c1", 0), ("c2", 1), ("c3", 2), ("d", 2)]
+    for few in (M.FEW_NODES, 0):
+        monkeypatch.setattr(M, "FEW_NODES", few)
+        assert sorted((r["node"], r["hop"]) for r in M.entity_hops(*frames, 2).collect()) == want
+
 
 def test_walks_send_no_edges_in_a_step(spark, monkeypatch):
     from weftgraph.operators import graph

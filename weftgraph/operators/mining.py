@@ -14,6 +14,8 @@ from . import lifecycle
 
 #: Pairs and chunks of a batch of evidence.
 BATCH_PAIRS, BATCH_CHUNKS = 10, 4
+#: Nodes of a step that are broadcast, if there are no more.
+FEW_NODES = 200_000
 
 
 def snapshot(entities: DataFrame, edges: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,13 +41,17 @@ def entity_hops(edges: DataFrame, roots: DataFrame, nodes: DataFrame, hops: int)
 
     ``nodes`` (node, node_type): entering an entity (0) costs 1, other nodes nothing; a node whose distance falls is followed again.
     """
-    cost = nodes.select(F.col("node").alias("dst"), F.when(F.col("node_type") == 0, 1).otherwise(0).alias("cost"))
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().join(cost, "dst")
-    both = staged(both.select("src", "dst", "cost"), "hop-edges")
+    # read in every step, and not shuffled where the step's nodes are few
+    cost = staged(nodes.select(F.col("node").alias("to"), F.when(F.col("node_type") == 0, 1).otherwise(0).alias("cost")), "hop-nodes")
+    edges = staged(edges.select("src", "dst"), "hop-edges")
+    few = lambda df: F.broadcast(df) if df.count() <= FEW_NODES else df
     seen = staged(roots.select("node").distinct().withColumn("hop", F.lit(0)), "hop")
     frontier = seen
     while not frontier.isEmpty():
-        reached = both.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("hop") + F.col("cost")).alias("hop")).where(F.col("hop") <= hops)
+        near = few(frontier)
+        along = lambda a, b, near=near: edges.join(near, F.col(a) == F.col("node")).groupBy(F.col(b).alias("end")).agg(F.min("hop").alias("hop"))
+        ends = staged(along("src", "dst").unionByName(along("dst", "src")), "hop-ends")
+        reached = cost.join(few(ends), F.col("to") == F.col("end")).select(F.col("to").alias("node"), (F.col("hop") + F.col("cost")).alias("hop")).where(F.col("hop") <= hops)
         reached = reached.groupBy("node").agg(F.min("hop").alias("hop"))
         known = seen.select("node", F.col("hop").alias("old"))
         frontier = staged(reached.join(known, "node", "left").where("old IS NULL OR hop < old").select("node", "hop"), "hop")

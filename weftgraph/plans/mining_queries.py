@@ -57,7 +57,7 @@ def equivalent_edges(spark, d):
 )
 def entity_hop_distance(spark, d):
     """Distances in entities entered; chunks on the way cost nothing (survey 11.9)."""
-    rows = fx.facts(spark, d).select(F.concat(F.lit("chunk-"), "chunk").alias("dst"), F.explode(F.array("s", "o")).alias("src")).distinct()
+    rows = fx.facts(spark, d).select(F.concat(F.lit("chunk-"), "chunk").alias("dst"), F.explode(F.array("s", "o")).alias("src"))
     nodes = rows.select(F.col("src").alias("node"), F.lit(0).alias("node_type")).union(rows.select("dst", F.lit(1))).distinct()
     return M.entity_hops(rows, spark.createDataFrame([("supplier 1",)], "node string"), nodes, 1)
 
