@@ -105,3 +105,28 @@ def test_batches_replays_attempts_and_time_outs(spark, index):
     assert states(index)[3] == ("FAILED", 2, "timed out") and states(index)[6] == ("PROCESSED", 1, None)
     assert [s for s in seen if s] == [["a", "b", "c"], ["d"], [""]]
     assert index.load("links").count() == 2 + 2 + 1 + 2 + 1 and sorted(r["fact"] for r in index.load("facts").collect()) == ["", "A", "B", "C", "D"]
+
+
+def test_growing_parts_hold_new_rows_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("weftgraph.sources.versions.PIECES", 3)
+    make = lambda: Versions(spark, str(tmp_path / "t"), {"a": "x int", "b": "y int"}, grows=("a",))
+    frame = lambda c, *n: spark.createDataFrame([(i,) for i in n], f"{c} int")
+    v = make()
+    for n in range(1, 10):
+        if n == 5:
+            frame("x", 99).write.parquet(str(tmp_path / "t" / "v=5" / "a+"))  # a save that was broken off
+        assert v.save(a=frame("x", n), b=lambda written: written("a").select((F.col("x") * 10).alias("y"))) == n
+        again = make()
+        assert sorted(r["x"] for r in again.load("a").collect()) == list(range(1, n + 1)) and [r["y"] for r in again.load("b").collect()] == [10 * n]
+        assert [k for k, whole in again.found() if whole] == [k for k in (n - 1, n) if k]
+        assert len(again._pieces("a", n)[1]) <= 3
+    assert [r["x"] for r in spark.read.parquet(str(tmp_path / "t" / "v=9" / "a+")).collect()] == [9]
+
+
+def test_a_batch_writes_its_own_chunks_only(spark, index, tmp_path):
+    index, _ = index
+    index.apply(docs(spark, (1, "a b"), (2, "b c"), (2, "b c")), 0)
+    index.apply(docs(spark, (3, "c d"), (1, "a b")), 1)
+    own = lambda part: spark.read.parquet(f"{index.table.folder}/v=2/{part}+")
+    assert [r["content"] for r in own("chunks").collect()] == ["d"] and own("links").count() == 2 and [r["fact"] for r in own("facts").collect()] == ["D"]
+    assert sorted(r["content"] for r in index.load("chunks").collect()) == ["a", "b", "c", "d"]

@@ -6,7 +6,7 @@ broke off left no version. The number of a batch is also the clock of time-outs.
 
 A document is known by its content. New ones are PENDING; each batch takes up those, the FAILED ones and those PROCESSING for too long, as long as they
 have attempts left. A work function says how each ended: done, unfinished, or an error. Chunks are known by content as well,
-so a chunk is extracted once, whichever documents have it.
+so a chunk is extracted once, whichever documents have it. Chunks, links and facts only grow: a batch writes its own.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import drop_staged, staged
 from ..sources.versions import Versions
 
 STATES = "id string, doc_id bigint, status string, attempts int, since bigint, error string"
 CHUNKS = "chunk string, content string, batch bigint"
 LINKS = "id string, chunk string"
 DONE, UNFINISHED = "done", "unfinished"
+#: New documents of a batch that are broadcast to it, if there are no more; beyond that their texts are shuffled.
+FEW_NEW = 2_000_000
 
 
 @dataclass
@@ -38,16 +40,16 @@ class Work:
 class IncrementalIndex:
     def __init__(self, spark: SparkSession, folder: str, work: Work, most_attempts: int = 3, time_out: int = 2):
         self.spark, self.work, self.most, self.time_out = spark, work, most_attempts, time_out
-        self.table = Versions(spark, folder, {"states": STATES, "chunks": CHUNKS, "links": LINKS, "facts": "chunk string, fact string", "batches": "batch bigint"})
+        self.table = Versions(spark, folder, {"states": STATES, "chunks": CHUNKS, "links": LINKS, "facts": "chunk string, fact string", "batches": "batch bigint"}, grows=("chunks", "links", "facts"))
 
     def apply(self, batch: DataFrame, number: int) -> bool:
         """Merge documents (doc_id, content); False if this number is in already."""
         if not self.table.load("batches").where(F.col("batch") == number).isEmpty():
             return False
         docs = batch.select("doc_id", F.coalesce("content", F.lit("")).alias("content"), F.concat(F.lit("doc-"), F.md5(F.coalesce("content", F.lit("")))).alias("id"))
-        docs = staged(docs.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("content").alias("content")), "index-batch")
-        stored, chunks, links = (self.table.load(p) for p in ("states", "chunks", "links"))
-        new = docs.join(stored.select("id"), "id", "left_anti")
+        stored, chunks = self.table.load("states"), self.table.load("chunks")
+        new = staged(docs.groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(stored.select("id"), "id", "left_anti"), "index-batch")
+        count = new.count()
         fresh = new.select("id", "doc_id", F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(number).cast("long").alias("since"), F.lit(None).cast("string").alias("error"))
         late = (F.col("status") == "PROCESSING") & (F.lit(number) - F.col("since") >= self.time_out)
         take = (F.col("status").isin("PENDING", "FAILED") | late) & (F.col("attempts") < self.most)
@@ -64,18 +66,20 @@ class IncrementalIndex:
             F.when(F.col("taken"), F.lit(number).cast("long")).otherwise(F.col("since")).alias("since"),
             F.when(F.col("taken") & ~o.isin(DONE, UNFINISHED), o).when(F.col("taken"), F.lit(None)).when(gave_up, "timed out").otherwise(F.col("error")).alias("error"),
         )
-        made = self.work.chunk(new.select("id", "content")).select("id", "content", F.concat(F.lit("chunk-"), F.md5("content")).alias("chunk"))
-        made = staged(made, "index-chunks")
+        # a row of each new text, without sending texts where the new ones are few; rows that repeat one do no harm
+        named = new.select(F.col("id").alias("new_id"), F.col("doc_id").alias("new_doc"))
+        texts = docs.join(F.broadcast(named) if count <= FEW_NEW else named, (F.col("id") == F.col("new_id")) & F.col("doc_id").eqNullSafe(F.col("new_doc")), "left_semi").select("id", "content")
+        made = staged(self.work.chunk(texts).select("id", "content", F.concat(F.lit("chunk-"), F.md5("content")).alias("chunk")), "index-chunks")
         only_new = made.groupBy("chunk").agg(F.first("content").alias("content")).join(chunks.select("chunk"), "chunk", "left_anti")
-        only_new = staged(only_new, "index-new")
-        facts = self.table.load("facts").unionByName(self.work.extract(only_new).select("chunk", "fact"))
         self.table.save(
             states=states,
-            chunks=chunks.unionByName(only_new.withColumn("batch", F.lit(number).cast("long"))),
-            links=links.unionByName(made.select("id", "chunk").distinct()),
-            facts=facts,
+            chunks=only_new.withColumn("batch", F.lit(number).cast("long")),
+            links=made.select("id", "chunk").distinct(),
+            facts=lambda written: self.work.extract(written("chunks").select("chunk", "content")).select("chunk", "fact"),
             batches=self.table.load("batches").unionByName(self.spark.range(1).select(F.lit(number).cast("long").alias("batch"))),
         )
+        drop_staged(new)
+        drop_staged(made)
         return True
 
     def follow(self, stream: DataFrame, checkpoint: str) -> None:
