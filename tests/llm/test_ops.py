@@ -553,6 +553,33 @@ def test_memory_of_one_key():
     assert peak < 100e6
 
 
+def test_copies_go_by_the_gray_index_first(spark, monkeypatch):
+    # a changed word of 400 leaves fingerprints within 4 bits, forty of them do not; the exact way only gets what the index does not join
+    rng, texts = random.Random(5), []
+    for _ in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        few, many = list(w), list(w)
+        few[200] = "changed"
+        many[180:220] = [f"x{rng.randrange(10**6)}" for _ in range(40)]
+        texts += [" ".join(x) for x in (w, few, many)]
+    written, stage = {}, simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, tag: written.setdefault(tag, stage(df, tag)))
+    assert kept_of(spark, texts) == sorted(set(groups_by_force(texts))) == list(range(0, 120, 3))
+    code = {r["tid"]: r["fp"] for r in written["copy-prefixes"].select("tid", "fp").collect()}
+    apart = lambda r: ((code[r["a"]] ^ code[r["b"]]) & (2**64 - 1)).bit_count()
+    near, exact = written["copy-near"].collect(), written["copy-edges"].collect()
+    assert sum(apart(r) <= 4 for r in near) >= 30  # the others by way of a third
+    assert exact and all(apart(r) > 4 for r in exact)
+
+
+def test_groups_are_not_looked_at_again():
+    prints = [simhash.parity_print(np.arange(100, dtype=np.uint64)).tobytes()] * 12
+    for n in (4, 12):
+        known = simhash.Prints(np.full(n, 100), prints[:n], 0.8)
+        links = lambda group: list(zip(*[x.tolist() for x in simhash.candidate_links(np.zeros(n, np.int64), np.arange(n), known, group)]))  # noqa: B023, E731
+        assert links(np.zeros(n, np.int64)) == [] and links(np.arange(n) % 2) and all((a + b) % 2 for a, b in links(np.arange(n) % 2))
+
+
 def test_one_of_each_group(spark, docs, empty):
     rows = make_docs()
     sets = [shingle_set(t) for _, t, *_ in rows]

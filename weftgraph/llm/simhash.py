@@ -248,7 +248,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# near copies by similarity: found by their rarest shingles and verified on all
+# near copies by similarity: those within ``BITS`` by the Gray-order index, the others by their rarest shingles; all are verified on their shingles
 
 COPY_WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted, so that the others are ordered by rarity, and shingles kept as frequent. Any order finds all copies.
@@ -327,8 +327,12 @@ class Prints:
         return keep[near], (apart / np.maximum(both, 1))[near]
 
 
-def candidate_links(key: np.ndarray, text: np.ndarray, prints: Prints) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts that share a key (sorted) and may be similar: all of short keys, of others links with the same components."""
+def candidate_links(key: np.ndarray, text: np.ndarray, prints: Prints, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts that share a key (sorted) and may be similar: all of short keys, of others links with the same components.
+
+    Texts of one ``group`` are joined already and not looked at together.
+    """
+    group = np.arange(text.max(initial=-1) + 1) if group is None else group
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     pairs = [np.zeros((2, 0), np.int64)]
@@ -336,11 +340,13 @@ def candidate_links(key: np.ndarray, text: np.ndarray, prints: Prints) -> tuple[
         at = first[size == n]
         pairs += [np.stack([text[at + i], text[at + j]]) for i, j in combinations(range(n), 2)]
     a, b = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+    apart = group[a] != group[b]
+    a, b = a[apart], b[apart]
     keep = prints.possible(a, b)[0]
     out = [np.stack([a[keep], b[keep]])]
     for s, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
-        some, label, edges = np.unique(text[s : s + n]), np.arange(n), []
-        label = label[: len(some)]
+        some, edges = np.unique(text[s : s + n]), []
+        label = np.unique(group[some], return_inverse=True)[1]
         for i in range(len(some) - 1):
             other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
             if not len(other):
@@ -365,14 +371,14 @@ def _candidate_links(similarity: float):
             ids, where = np.unique(tids[-1], return_index=True)
             for t, i in zip(ids.tolist(), where.tolist()):
                 if t not in known:
-                    known[t] = (b.column(2)[i].as_py(), b.column(3)[i].as_py())
+                    known[t] = (b.column(2)[i].as_py(), b.column(3)[i].as_py(), b.column(4)[i].as_py())
         if not keys:
             return
         key, tid = np.concatenate(keys), np.concatenate(tids)
         ids, text = np.unique(tid, return_inverse=True)
         prints = Prints(np.array([known[t][0] for t in ids.tolist()], np.int64), [known[t][1] for t in ids.tolist()], similarity)
         order = np.lexsort((text, key))
-        a, b = candidate_links(key[order], text[order], prints)
+        a, b = candidate_links(key[order], text[order], prints, np.array([known[t][2] for t in ids.tolist()], np.int64))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
         del keys, tids, known, key, tid, ids, text, prints, order, a, b
@@ -499,12 +505,32 @@ def text_id(docs: DataFrame) -> Column:
     return F.when(one.isin(shared), F.xxhash64(one, two)).otherwise(one) if shared else one
 
 
+def index_links(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (tid, fp, staged) by the Gray-order index: each text with the least of its fingerprint, and of the links of fingerprints."""
+    least = staged(texts.groupBy("fp").agg(F.min("tid").alias("least")), "copy-fps")
+    of = lambda c: least.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(f"t_{c}"))
+    same = texts.select("tid", "fp").join(of("a"), F.col("fp") == F.col("fp_a")).where("tid <> t_a").select(F.col("tid").alias("a"), F.col("t_a").alias("b"))
+    links = near_links(least.select("fp")).distinct().join(of("a"), F.col("a") == F.col("fp_a")).join(of("b"), F.col("b") == F.col("fp_b"))
+    return same.unionByName(links.select(F.col("t_a").alias("a"), F.col("t_b").alias("b")))
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) whose texts' ``sets`` (tid, shingles) are as similar."""
+    left, right = [sets.select(F.col("tid").alias(t), F.col("shingles").alias(f"{t}_set")) for t in ("ta", "tb")]
+    both = edges.join(left, F.col("a") == F.col("ta")).join(right, F.col("b") == F.col("tb"))
+    common = F.size(F.array_intersect("ta_set", "tb_set"))
+    total = F.size("ta_set") + F.size("tb_set") - common
+    return both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b")
+
+
 def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY, tid: Column | None = None) -> DataFrame:
     """(tid, root) for the texts of ``docs`` that have near copies: tid is the text's id (``text_id``), root that of its group.
 
     Texts are linked if the Jaccard similarity of their shingle sets is at least ``similarity``; all such links are found.
-    Candidates share one of their rarest shingles (``prefix``), are of like size and differ in few enough bits of
-    their parity prints, none of which a link can miss; each task passes on links that join them, which are
+    Texts whose fingerprints are within ``BITS`` are found by the Gray-order index and verified on their shingles; what this joins is a group.
+    Similar texts may differ in more bits, so links between groups are searched by an exact way: candidates share one of their
+    rarest shingles (``prefix``), are of like size and differ in few enough bits of
+    their parity prints, none of which a link can miss; each task passes on links that join groups, which are
     verified on the shingles. Where such a link does not hold, others that were left out may:
     the texts of such a group are verified whole.
     """
@@ -520,17 +546,25 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, prints, keys = [], [], []
+            n, prints, keys, codes = [], [], [], []
             for t in b.column(1):
                 hashes = shingles(t.as_py(), words)
                 n.append(len(hashes))
                 prints.append(parity_print(hashes).tobytes())
                 keys.append(prefix(hashes, similarity, frequent, often).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["tid", "n", "print", "keys"])
+                codes.append(simhash(t.as_py()))
+            fps = pa.array(np.array(codes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), fps], ["tid", "n", "print", "keys", "fp"])
         give_back()
 
-    of = rows.mapInArrow(prefixes, "tid bigint, n bigint, print binary, keys array<bigint>")
-    texts = staged(of.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n", "print", "keys")]), "copy-prefixes")
+    of = rows.mapInArrow(prefixes, "tid bigint, n bigint, print binary, keys array<bigint>, fp bigint")
+    texts = staged(of.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n", "print", "keys", "fp")]), "copy-prefixes")
+    near = staged(index_links(texts), "copy-near")
+    near_ids = staged(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copy-near-ids")
+    shingles_of = lambda ids: rows.join(ids, F.col("tid") == F.col("id"), "left_semi").groupBy("tid").agg(F.first("text").alias("text")).mapInArrow(sets, "tid bigint, shingles array<bigint>")
+    near_sets = staged(shingles_of(near_ids), "copy-near-shingles")
+    groups = connected_components(verified(near, near_sets, similarity))
+    joined = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
     keyed = texts.select("tid", F.explode("keys").alias("key"))
     # a shingle of one text finds nothing; the others meet
     shared = keyed.groupBy(F.col("key").alias("k")).count().where("count > 1")
@@ -539,19 +573,15 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SI
     own = F.pmod(F.xxhash64("tid", F.lit("part")), parts).cast("int")
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, own), F.greatest(p, own)))
     met = met.select("tid", F.explode(F.when(F.col("count") <= HOT_ROWS, F.array("key")).otherwise(meets)).alias("key"))
-    met = met.join(texts.select(F.col("tid").alias("t"), "n", "print"), F.col("tid") == F.col("t")).select("key", "tid", "n", "print")
+    about = texts.select("tid", "n", "print").join(groups, F.col("tid") == F.col("node"), "left").select(F.col("tid").alias("t"), "n", "print", F.coalesce("root", "tid").alias("group"))
+    met = met.join(about, F.col("tid") == F.col("t")).select("key", "tid", "n", "print", "group")
     n_keys = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // TASK_ROWS)
     edges = staged(met.repartition(tasks, "key").mapInArrow(_candidate_links(similarity), "a bigint, b bigint").distinct(), "copy-edges")
-    met_ids = staged(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copy-ids")
-    some = rows.join(met_ids, F.col("tid") == F.col("id"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    some = staged(some.mapInArrow(sets, "tid bigint, shingles array<bigint>"), "copy-shingles")
-    left, right = [some.select(F.col("tid").alias(t), F.col("shingles").alias(f"{t}_set")) for t in ("ta", "tb")]
-    both = edges.join(left, F.col("a") == F.col("ta")).join(right, F.col("b") == F.col("tb"))
-    common = F.size(F.array_intersect("ta_set", "tb_set"))
-    total = F.size("ta_set") + F.size("tb_set") - common
-    sure = connected_components(both.where((total == 0) | (common >= F.lit(similarity) * total)).select("a", "b"))
-    more = open_links(edges, sure, some, similarity)
+    met_ids = staged(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(near_ids, "id", "left_anti"), "copy-ids")
+    some = near_sets.unionByName(staged(shingles_of(met_ids), "copy-shingles"))
+    sure = connected_components(verified(edges, some, similarity).unionByName(joined))
+    more = open_links(edges.unionByName(joined), sure, some, similarity)
     if more is not None:
         sure = connected_components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return sure.select(F.col("node").alias("tid"), "root")
