@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftgraph.operators import chunking, extraction, graph, merge, mutate, ranking, vector
 
@@ -33,6 +34,35 @@ def test_token_windows(spark):
     assert rows(chunking.token_windows(docs, 3, 1), "doc_id", "chunk_order_index", "tokens") == [(2, 0, 3), (2, 1, 3), (2, 2, 1)]
 
 
+def test_pairs_of_key_meet_as_blocks_in_all_tasks(spark):
+    """A key's pairs are many more than its rows: they are not made in one task, none is lost and equal or null rows count each."""
+    left = spark.range(150).selectExpr("if(id % 50 = 49, 'rare', 'hot') as k", "if(id % 10 = 0, null, id div 2) as a").repartition(3)
+    right = spark.range(90).selectExpr("if(id < 80, 'hot', if(id < 85, 'rare', 'none')) as k", "id as b").repartition(3)
+    for block in (16, 1000):
+        got = merge.pairs_of_key(left, right, "k", "a", "b", block)
+        want = left.join(right, "k").select("a", "b")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == want.count() == 147 * 80 + 3 * 5
+    tasks = merge.pairs_of_key(left, right, "k", "a", "b", 16).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_phrase_containment_of_odd_parts(spark, tmp_path):
+    """Null parts of a text leave it without rows, as in SQL; parts of equal ids count each as texts and once as entities."""
+    import duckdb
+
+    from weftgraph.plans import registry
+
+    registry.load()
+    data = [(1, "Red Bolt", "STEEL"), (2, "red-bolt", None), (3, None, "red bolt"), (4, "ab", "red bolt"), (5, "steel", "x  y"), (5, "steel", "x  y"), (6, "x  y", "red bolt"), (None, "bolt", "red")]
+    spark.createDataFrame(data, "p_partkey bigint, p_name string, p_type string").withColumn("p_brand", F.lit("b")).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(registry.SQL["phrase_containment"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["phrase_containment"](spark, str(tmp_path)).collect()]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(want)
+
+
 def test_entity_merge_ties(spark):
     data = [("e", "b", "same", "s1", 1, 1), ("e", "a", "longer text", "s2", 1, 2), ("e", "a", "same", "s1", 0, 3), ("e", "b", "z", "s3", 1, 4)]
     got = merge.merge_entities(spark.createDataFrame(data, "name string, type string, description string, source string, ts int, seq int"), 2).first()
