@@ -34,6 +34,23 @@ def test_token_windows(spark):
     assert rows(chunking.token_windows(docs, 3, 1), "doc_id", "chunk_order_index", "tokens") == [(2, 0, 3), (2, 1, 3), (2, 2, 1)]
 
 
+def test_entities_are_built_from_buckets_without_a_shuffle(spark, tmp_path):
+    """Rebuilding after a deletion shuffled every list of a name by itself; from rows in buckets by name, with nothing stored, it shuffles none."""
+    from weftgraph.operators import lifecycle
+
+    data = [(f"n{i % 5}", f"t{i % 3}", f"d{i % 4}", f"c{i}", f"f{i % 7}", i, i) for i in range(60)]
+    new = spark.createDataFrame(data, "name string, type string, description string, source string, file_path string, ts int, seq int")
+    new.repartition(4, "name").write.format("parquet").option("path", f"{tmp_path}/new").bucketBy(4, "name").saveAsTable("rebuilt_rows")
+    try:
+        built = lifecycle.merge_into_entities(spark.table("rebuilt_rows"), None, 3, 2)
+        assert "Exchange hashpartitioning" not in built._jdf.queryExecution().executedPlan().toString()
+        empty = spark.createDataFrame([], "name string, entity_type string, description string, source_id string, file_path string")
+        assert rows(built, *built.columns) == rows(lifecycle.merge_into_entities(new, empty, 3, 2), *built.columns)
+        assert {r["n_sources"] for r in built.collect()} == {3}
+    finally:
+        spark.sql("DROP TABLE rebuilt_rows")
+
+
 def test_pairs_of_key_meet_as_blocks_in_all_tasks(spark):
     """A key's pairs are many more than its rows: they are not made in one task, none is lost and equal or null rows count each."""
     left = spark.range(150).selectExpr("if(id % 50 = 49, 'rare', 'hot') as k", "if(id % 10 = 0, null, id div 2) as a").repartition(3)

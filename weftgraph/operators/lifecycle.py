@@ -2,43 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import drop_staged, shared_dir, staged
 
 #: Descriptions are joined below these, else summarised.
 JOIN_ITEMS, JOIN_TOKENS = 8, 1200
 MORE_PATHS = "...truncated"
 
 
-def ordered_union(stored: DataFrame, new: DataFrame, keys: list[str], item: str, limit: int, method: str = "FIFO") -> DataFrame:
+def ordered_union(stored: DataFrame | None, new: DataFrame, keys: list[str], item: str, limit: int, method: str = "FIFO") -> DataFrame:
     """(keys, items, total): a key's stored items (at), then its new ones (seq), each once; FIFO keeps the last ``limit``, KEEP the first.
 
     Rows are ranked before they are collected, so a key with very many items never holds more than ``limit`` in one place.
     """
-    rows = stored.select(*keys, item, F.lit(0).alias("part"), F.col("at").cast("long").alias("at")).unionByName(new.select(*keys, item, F.lit(1).alias("part"), F.col("seq").cast("long").alias("at")))
+    rows = new.select(*keys, item, F.lit(1).alias("part"), F.col("seq").cast("long").alias("at"))
+    rows = rows if stored is None else stored.select(*keys, item, F.lit(0).alias("part"), F.col("at").cast("long").alias("at")).unionByName(rows)
     once = rows.groupBy(*keys, item).agg(F.min(F.struct("part", "at")).alias("place"))
-    total = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     order = [F.desc("place"), F.desc(item)] if method == "FIFO" else [F.asc("place"), F.asc(item)]
-    kept = once.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= limit)
-    lists = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.col(item).alias("x")))).alias("list"))
-    return lists.join(total, keys).select(*keys, F.transform("list", lambda s: s["x"]).alias("items"), "total")
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = F.collect_list(F.when(F.col("n") <= limit, F.struct("place", F.col(item).alias("x"))))
+    lists = ranked.groupBy(*keys).agg(F.array_sort(kept).alias("list"), F.max("n").cast("long").alias("total"))
+    return lists.select(*keys, F.transform("list", lambda s: s["x"]).alias("items"), "total")
 
 
-def _listed(stored: DataFrame, keys: list[str], column: str, item: str) -> DataFrame:
-    return stored.select(*keys, F.posexplode(T.split_list(F.col(column))).alias("at", item))
+def _listed(stored: DataFrame | None, keys: list[str], column: str, item: str) -> DataFrame | None:
+    return stored and stored.select(*keys, F.posexplode(T.split_list(F.col(column))).alias("at", item))
 
 
-def described(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def described(stored: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, items): stored descriptions, then the distinct new ones by time, the longer first, and order."""
     first = new.where("description <> ''").groupBy(*keys, "description").agg(F.min(F.struct("ts", "seq")).alias("first"))
     fresh = first.select(*keys, F.struct(F.lit(1).alias("part"), F.col("first.ts").cast("long").alias("a"), (-F.length("description")).cast("long").alias("b"), F.col("first.seq").cast("long").alias("c"), "description").alias("x"))
-    old = stored.select(*keys, F.posexplode(T.split_list(F.col("description"))).alias("at", "description"))
-    old = old.select(*keys, F.struct(F.lit(0).alias("part"), F.col("at").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "description").alias("x"))
-    lists = old.unionByName(fresh).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    if stored is not None:
+        old = _listed(stored, keys, "description", "description")
+        fresh = old.select(*keys, F.struct(F.lit(0).alias("part"), F.col("at").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "description").alias("x")).unionByName(fresh)
+    lists = fresh.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
     return lists.select(*keys, F.transform("x", lambda s: s["description"]).alias("items"))
 
 
@@ -54,31 +58,35 @@ def _paths(lists: DataFrame, keys: list[str], limit: int, method: str) -> DataFr
     return lists.select(*keys, T.join_list(F.concat("items", more)).alias("file_path"))
 
 
-def _sources(new: DataFrame, stored: DataFrame, keys: list[str], limit: int, method: str) -> tuple[DataFrame, DataFrame]:
+def _sources(new: DataFrame, stored: DataFrame | None, keys: list[str], limit: int, method: str) -> tuple[DataFrame, DataFrame]:
     """(ordered capped source lists, the new rows that count): KEEP drops rows of chunks that are neither kept nor stored."""
     own = _listed(stored, keys, "source_id", "source")
     ids = ordered_union(own, new, keys, "source", limit, method)
     if method == "KEEP":
-        held = ids.select(*keys, F.explode("items").alias("source")).unionByName(own.select(*keys, "source"))
+        held = ids.select(*keys, F.explode("items").alias("source"))
+        held = held if own is None else held.unionByName(own.select(*keys, "source"))
         new = new.join(held, [*keys, "source"], "left_semi")
     return ids.select(*keys, T.join_list(F.col("items")).alias("source_id"), F.size("items").cast("long").alias("n_sources")), new
 
 
-def _file_paths(new: DataFrame, stored: DataFrame, keys: list[str], limit: int, method: str) -> DataFrame:
-    own = _listed(stored, keys, "file_path", "file_path").where(F.col("file_path") != MORE_PATHS)
+def _file_paths(new: DataFrame, stored: DataFrame | None, keys: list[str], limit: int, method: str) -> DataFrame:
+    own = _listed(stored, keys, "file_path", "file_path")
+    own = own and own.where(F.col("file_path") != MORE_PATHS)
     return _paths(ordered_union(own, new, keys, "file_path", limit, method), keys, limit, method)
 
 
-def merge_into_entities(new: DataFrame, stored: DataFrame, sources: int = 300, paths: int = 100, method: str = "FIFO", summary: Callable[[Column], Column] = T.summary) -> DataFrame:
+def merge_into_entities(new: DataFrame, stored: DataFrame | None, sources: int = 300, paths: int = 100, method: str = "FIFO", summary: Callable[[Column], Column] = T.summary) -> DataFrame:
     """The rows of the names in ``new`` after merging it into ``stored`` (survey 4.6).
 
     new: name, type, description, source, file_path, ts, seq; stored: name, entity_type, description, source_id, file_path, the last three joined lists.
-    The type that most rows have wins, of equals the first, the stored one last.
+    The type that most rows have wins, of equals the first, the stored one last. Where nothing is ``stored`` and ``new`` lies in buckets by name, nothing is shuffled.
     """
     keys = ["name"]
-    stored = stored.join(new.select("name").distinct(), "name", "left_semi")
+    stored = stored and stored.join(new.select("name").distinct(), "name", "left_semi")
     ids, new = _sources(new, stored, keys, sources, method)
-    kinds = new.select("name", "type", F.lit(0).alias("part"), F.col("seq").cast("long").alias("seq")).unionByName(stored.select("name", F.col("entity_type").alias("type"), F.lit(1).alias("part"), F.lit(0).cast("long").alias("seq")))
+    kinds = new.select("name", "type", F.lit(0).alias("part"), F.col("seq").cast("long").alias("seq"))
+    if stored is not None:
+        kinds = kinds.unionByName(stored.select("name", F.col("entity_type").alias("type"), F.lit(1).alias("part"), F.lit(0).cast("long").alias("seq")))
     kinds = kinds.groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("part", "seq")).alias("first"))
     kind = kinds.groupBy("name").agg(F.min_by("type", F.struct(-F.col("n"), "first")).alias("entity_type"))
     said = described(stored, new, keys).select("name", joined_or_summary(F.col("items"), summary).alias("description"))
@@ -127,14 +135,22 @@ def delete_documents(stored: DataFrame, cached: DataFrame, gone: DataFrame, sour
     """``stored`` entities after the chunks ``gone`` (source) are deleted (survey 12.2, 4.11).
 
     Untouched rows stay as they are, rows without a chunk left go, the others are built anew from the ``cached`` extractions of
-    the chunks that are left.
+    the chunks that are left. These are shuffled once, into buckets by name, from which all lists are built; the buckets go when the result is written.
     """
+    spark = stored.sparkSession
     listed = stored.select("name", F.explode(T.split_list(F.col("source_id"))).alias("source"))
     plan = deletion(listed, gone, ["name"])
-    left = cached.join(gone.select("source").distinct(), "source", "left_anti").join(plan.where("action = 'rebuild'").select("name"), "name", "left_semi")
-    built = merge_into_entities(left, stored.limit(0), sources, paths)
+    parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"left_{uuid.uuid4().hex}"
+    left = cached.join(gone.select("source").distinct(), "source", "left_anti").repartition(parts, "name").join(plan.where("action = 'rebuild'").select("name"), "name", "left_semi")
+    left = left.select("name", "type", "description", "source", "file_path", "ts", "seq")
+    left.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}").bucketBy(parts, "name").saveAsTable(table)
+    left = spark.table(table)
+    built = merge_into_entities(left, None, sources, paths)
     same = stored.join(plan.where("action = 'untouched'").select("name"), "name", "left_semi")
-    return same.select(*built.columns).unionByName(built)
+    out = staged(same.select(*built.columns).unionByName(built), "deletion-result")
+    drop_staged(left)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def create_entities(stored: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
-from ..session import read_table
+from ..session import drop_staged, read_table, staged
 from .registry import query
 
 # mentions of parts in chunks (orders); odd chunks are the stored past, even ones are new
@@ -15,15 +15,19 @@ _MENTIONS = (
 )
 
 
-def _mentions(spark, d):
-    """Rows of (name, type, description, source, file_path, chunk, ts, seq); rows of equal seq differ in nothing that is ordered by it but the description."""
+def _mentions(spark, d, by: str | None = None):
+    """Rows of (name, type, description, source, file_path, chunk, ts, seq); rows of equal seq differ in nothing that is ordered by it but the description.
+
+    They are told apart where rows of equal ``by`` are, if it is given, so that a join by it needs no other shuffle.
+    """
     rows = read_table(spark, d, "lineitem")
     taxed = F.when(F.col("l_tax") > 0.04, " taxed").otherwise("")
-    return rows.select(
+    rows = rows.select(
         F.concat(F.lit("part "), "l_partkey").alias("name"), F.col("l_returnflag").alias("type"), F.concat(F.lit("seen "), "l_linestatus", F.lit(" in "), "l_linenumber", taxed).alias("description"),
         F.concat(F.lit("chunk-"), "l_orderkey").alias("source"), F.concat(F.lit("file-"), (F.col("l_orderkey") % 40).cast("string")).alias("file_path"), F.col("l_orderkey").alias("chunk"),
         F.floor(F.col("l_orderkey") / 3).alias("ts"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.ascii("l_returnflag") % 3).alias("seq"),
-    ).distinct()
+    )
+    return (rows.repartition(by) if by else rows).distinct()
 
 
 def _merge_sql(new: str, stored: str, sources: int, paths: int, method: str, keys: str = "name") -> str:
@@ -142,11 +146,15 @@ def two_phase_merge(spark, d):
 )
 def delete_and_rebuild(spark, d):
     """Entities after documents are deleted: untouched rows, and rows built anew from the extractions that are left (survey 12.2, 4.11)."""
-    rows = _mentions(spark, d)
-    stored = rows.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("source")), "<SEP>").alias("source_id"), F.countDistinct("source").alias("n_sources"))
+    rows = _mentions(spark, d, "source")
+    stored = rows.groupBy("name").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    stored = stored.select("name", F.array_join("sources", "<SEP>").alias("source_id"), F.size("sources").cast("long").alias("n_sources"))
     stored = stored.select("name", F.lit("old").alias("entity_type"), F.lit("old text").alias("description"), "source_id", "n_sources", F.lit("old").alias("file_path"))
     gone = read_table(spark, d, "orders").where("o_orderkey % 10 < 4").select(F.concat(F.lit("chunk-"), "o_orderkey").alias("source"))
-    return L.delete_documents(stored, rows, gone)
+    stored = staged(stored, "deletion-stored")
+    out = L.delete_documents(stored, rows, gone)
+    drop_staged(stored)
+    return out
 
 
 @query("create_entity", "SELECT 'part ' || p_partkey AS name, p_type AS entity_type, CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_name END AS description, 'manual_creation' AS source_id, CASE WHEN p_size % 5 = 0 THEN 'no description' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 4 = 1) THEN 'exists' ELSE 'created' END AS outcome FROM part")
