@@ -51,6 +51,24 @@ def test_entities_are_built_from_buckets_without_a_shuffle(spark, tmp_path):
         spark.sql("DROP TABLE rebuilt_rows")
 
 
+def test_a_block_of_scores_is_never_whole_in_memory():
+    """A task held some copies of the scores of a whole block: 128 MB each at 4,096 queries and keys."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    queries, keys = rng.normal(size=(4096, 8)), rng.normal(size=(4096, 8))
+    tracemalloc.start()
+    got = vector.best_of_block(queries, keys, 10, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    score = np.round(queries[3000:3100] @ keys.T, 9)
+    want = vector.best_of_rows(score, 10, 0.5)
+    mine = (got[0] >= 3000) & (got[0] < 3100)
+    assert (got[0][mine] - 3000).tolist() == want[0].tolist() and got[1][mine].tolist() == want[1].tolist()
+    assert np.allclose(got[2][mine], score[want], atol=1e-8) and len(got[0]) == 40960
+
+
 def test_pairs_of_key_meet_as_blocks_in_all_tasks(spark):
     """A key's pairs are many more than its rows: they are not made in one task, none is lost and equal or null rows count each."""
     left = spark.range(150).selectExpr("if(id % 50 = 49, 'rare', 'hot') as k", "if(id % 10 = 0, null, id div 2) as a").repartition(3)

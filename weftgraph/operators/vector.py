@@ -13,6 +13,8 @@ from ..functions import arrays as A
 
 #: Rows of a block of keys or queries.
 BLOCK = 4096
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 
 
 def top_k(rows: DataFrame, vector: list[float], k: int, threshold: float | None = None) -> DataFrame:
@@ -37,11 +39,21 @@ def best_of_rows(score: np.ndarray, take: int, threshold: float) -> tuple[np.nda
     return rows[keep], columns[keep]
 
 
+def best_of_block(queries: np.ndarray, keys: np.ndarray, take: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, scores) of each query's best keys; the product of a block is made for a few queries at a time, so it never lies whole in memory."""
+    step, found = max(1, CELLS // max(1, len(keys))), []
+    for i in range(0, len(queries), step):
+        score = np.round(queries[i : i + step] @ keys.T, 9)
+        rows, columns = best_of_rows(score, take, threshold)
+        found.append((rows + i, columns, score[rows, columns]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def knn(queries: DataFrame, keys: DataFrame, k: int, threshold: float = -1.0, blocks: int | None = None) -> DataFrame:
     """(query_id, key_id, score, rank): the k keys of the greatest cosine for each query.
 
     Queries and keys are dealt into blocks, each side by its own number of rows; each pair of blocks is one product of matrices in one
-    task, which passes on its best k a query, so that only queries x blocks x k rows are shuffled. A row is sent once for each block of
+    task, a few queries at a time, which passes on its best k a query, so that only queries x blocks x k rows are shuffled. A row is sent once for each block of
     the other side: keys only once where the queries fill one block. Both sides have columns vec_id and embedding.
     """
     n_blocks = {"q": blocks or max(1, -(-queries.count() // BLOCK)), "k": blocks or max(1, -(-keys.count() // BLOCK))}
@@ -64,9 +76,8 @@ def knn(queries: DataFrame, keys: DataFrame, k: int, threshold: float = -1.0, bl
         key_ids = ids[~is_query]
         order = np.argsort(key_ids, kind="stable")
         key_ids, keys_ = key_ids[order], v[~is_query][order]
-        score = np.round(v[is_query] @ keys_.T, 9)
-        rows, columns = best_of_rows(score, min(k, len(key_ids)), threshold)
-        return pa.table({"query_id": ids[is_query][rows], "key_id": key_ids[columns], "score": score[rows, columns]})
+        rows, columns, score = best_of_block(v[is_query], keys_, min(k, len(key_ids)), threshold)
+        return pa.table({"query_id": ids[is_query][rows], "key_id": key_ids[columns], "score": score})
 
     found = both.groupBy("q", "k").applyInArrow(best, "query_id bigint, key_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
