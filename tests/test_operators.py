@@ -81,6 +81,18 @@ def test_pairs_of_key_meet_as_blocks_in_all_tasks(spark):
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_pairs_are_made_a_bounded_number_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(merge, "PAIRS", 100)
+    ours, theirs = [*range(40), None], [f"t{i}" for i in range(30)]
+    rows = pa.RecordBatch.from_arrays([pa.array([ours, [7], []]), pa.array([theirs, theirs, theirs])], ["as", "bs"])
+    out = list(merge._crossed("a", "b")(iter([rows])))
+    assert max(b.num_rows for b in out) <= 100
+    got = [(r["a"], r["b"]) for b in out for r in b.to_pylist()]
+    assert got == [(a, b) for a in [*ours, 7] for b in theirs]
+
+
 def test_phrase_containment_of_odd_parts(spark, tmp_path):
     """Null parts of a text leave it without rows, as in SQL; parts of equal ids count each as texts and once as entities."""
     import duckdb
