@@ -540,6 +540,19 @@ def test_copies_of_all_lengths(spark, monkeypatch):
     assert kept_of(spark, texts) == want
 
 
+def test_any_counts_of_shingles_find_all_copies():
+    # what is counted only orders a text's shingles: two texts at 0.8 share one of their prefixes by whatever counts, none included
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 10, 40, 41, 500):
+        a = np.sort(rng.integers(1, 2**63, n, dtype=np.uint64))
+        b = np.sort(rng.permutation(a)[: int(np.ceil(0.8 * n - 1e-9))])
+        for counted in (0, 1, n // 2, n):
+            frequent = np.sort(rng.permutation(a)[:counted])
+            often = rng.integers(2, 9, counted)
+            of = [simhash.prefix(x, 0.8, frequent, often) for x in (a, b)]
+            assert len(np.intersect1d(*of))
+
+
 def test_memory_of_one_key():
     # a key of 30,000 near copies: a matrix of distances would take 900 MB
     rng, n = np.random.default_rng(1), 30_000
