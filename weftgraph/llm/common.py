@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table as table
-from ..session import shared_dir
+from ..session import shared_dir, shuffles_freed
 
 __all__ = ["BLANK", "ascii_lower", "drop_path", "drop_staged", "shared_dir", "shuffles_freed", "small", "staged", "staged_path", "table", "text_or_empty", "words_of"]
 
@@ -36,18 +34,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within, every action deletes its shuffle files on all executors when it ends, not when the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def drop_staged(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_path(df.sparkSession, path)
